@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Blanks around a value: ASCII and the no-break, em, ideographic and similar spaces.
-BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85                 　"
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def c(x: Column | str) -> Column:

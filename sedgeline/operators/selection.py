@@ -11,11 +11,11 @@ from sedgeline.session import cut, maybe_broadcast
 DIGITS = 4
 
 
-def smallest_hashes(rows: DataFrame, groups: list[str], hash_hex: str, tie: str, quotas: DataFrame | None = None, quota: str = "quota", rate: float | None = None) -> DataFrame:
+def smallest_hashes(rows: DataFrame, groups: list[str], hash_hex: str, tie: str, quotas: DataFrame | None = None, quota: str = "quota", permille: int = 0) -> DataFrame:
     """The ``quota`` rows of every group with the smallest (hash, tie).
 
     ``rows``: one row per candidate. ``quotas``: groups and ``quota``; without
-    it each group's quota is ceil(rate x its size). Method: count rows by group
+    it each group's quota is ceil(permille / 1000 x its size). Method: count rows by group
     and leading hash digits (combined map-side), find in the running count the
     one bucket in which the quota is used up, take every row of the buckets
     before it and rank only the rows of that bucket. So a group that holds a
@@ -29,7 +29,7 @@ def smallest_hashes(rows: DataFrame, groups: list[str], hash_hex: str, tie: str,
     run = Window.partitionBy(*groups).orderBy(b).rowsBetween(Window.unboundedPreceding, 0)
     if quotas is None:
         total = Window.partitionBy(*groups)
-        hist = hist.withColumn("__q", F.ceil(F.sum("__n").over(total) * F.lit(rate)).cast("long"))
+        hist = hist.withColumn("__size", F.sum("__n").over(total)).withColumn("__q", F.expr(f"(__size * {int(permille)} + 999) div 1000")).drop("__size")
     else:
         q = quotas.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col(quota).cast("long").alias("__q"))
         on = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)]
