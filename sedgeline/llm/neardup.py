@@ -31,7 +31,9 @@ from sedgeline.session import cut
 
 SEGMENTS, COARSE = 128, 32
 #: Texts in a block.
-BLOCK = 16_384
+BLOCK = 8_192
+#: Texts that are compared at once.
+STRIP = 2_048
 #: A class of equal texts with more members gives the pairs of its representative instead of all pairs.
 EXPANDED = 100
 
@@ -55,11 +57,22 @@ def unpack(r: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return n, segs, np.minimum(coarse, 255).astype(np.uint8)
 
 
-def close(x: np.ndarray, ys: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Which columns of ``ys`` lie within Manhattan distance ``most`` of ``x`` (bytes; at most 257 rows keep the sum in 16 bits)."""
-    d = np.maximum(ys, x[:, None])
-    d -= np.minimum(ys, x[:, None])
-    return np.add.reduce(d, axis=0, dtype=np.uint16) <= most
+def distances(x: np.ndarray, ys: np.ndarray, held: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Manhattan distances of ``x`` to the columns of ``ys``, in buffers that stay in the processor's cache.
+
+    The sum of COARSE rows is taken modulo 256, which can only let a far text
+    through to the next test.
+    """
+    up, down = (b[:, : ys.shape[1]] for b in held)
+    np.maximum(ys, x, out=up)
+    np.minimum(ys, x, out=down)
+    np.subtract(up, down, out=up)
+    return np.add.reduce(up, axis=0, dtype=np.uint8)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Manhattan distances of the columns of ``a`` and ``b``, one by one."""
+    return (np.maximum(a, b) - np.minimum(a, b)).sum(axis=0, dtype=np.int32)
 
 
 def block_pairs(a: pd.Series, b: pd.Series, similarity: float) -> pd.DataFrame:
@@ -69,18 +82,21 @@ def block_pairs(a: pd.Series, b: pd.Series, similarity: float) -> pd.DataFrame:
     ratio = (1 - similarity) / (1 + similarity)
     lo = np.searchsorted(nb, np.ceil(na * similarity - 1e-9), "left")
     hi = np.searchsorted(nb, np.floor(na / similarity + 1e-9), "right")
+    held = np.empty((COARSE, STRIP), np.uint8), np.empty((COARSE, STRIP), np.uint8)
+    strips = [np.ascontiguousarray(cb[:, k : k + STRIP]) for k in range(0, len(nb), STRIP)]
     xs, ys = [], []
     for i in range(len(na)):
         s, e = (max(lo[i], i + 1) if same else lo[i]), hi[i]
-        if s >= e:
-            continue
-        most = np.floor(ratio * (na[i] + nb[s:e]) + 1e-9).astype(np.int64)
-        at = np.flatnonzero(close(ca[:, i], cb[:, s:e], most))
-        if len(at):
-            at = at[close(sa[:, i], sb[:, s:e][:, at], most[at])]
+        x = ca[:, i : i + 1]
+        for k in range(s // STRIP, -(-e // STRIP) if e > s else 0):
+            p, q = max(s, k * STRIP), min(e, (k + 1) * STRIP)
+            most = int(ratio * (na[i] + nb[q - 1]) + 1e-9)
+            at = np.flatnonzero(distances(x, strips[k][:, p - k * STRIP : q - k * STRIP], held) <= min(most, 255)) + p
             if len(at):
-                xs.append(np.full(len(at), i))
-                ys.append(at + s)
+                at = at[apart(sa[:, i : i + 1], sb[:, at]) <= np.floor(ratio * (na[i] + nb[at]) + 1e-9)]
+                if len(at):
+                    xs.append(np.full(len(at), i))
+                    ys.append(at)
     if not xs:
         return pd.DataFrame({"x": [], "y": []})
     x, y = np.concatenate(xs), np.concatenate(ys)
