@@ -11,7 +11,8 @@ must add less than CUT to any dot product, by the smaller of two bounds, the nor
 the rest and the sum of its weights times the greatest weight that any
 evaluation vector has in that place (a table of BUCKETS hashed places, of fixed
 size). A query adds up the lists of its elements; a text whose sum and left-out bound do
-not reach the threshold is pruned; the others get their exact dot product.
+not reach the threshold is pruned, then one whose counts by segment lie too far apart (the
+bound of the near-duplicates); the others get their exact dot product.
 Equal bags are one text, so a group of copies costs one list entry.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sedgeline.functions.text import id_upper, split_key, strip
 from sedgeline.llm.bags import bag_rows, length_pairs, meet, verified, wrap
-from sedgeline.llm.neardup import review_texts
+from sedgeline.llm.neardup import SEGMENTS, apart, counts, review_texts
 from sedgeline.session import cut
 
 BITS = 17
@@ -92,6 +93,8 @@ def search(a: pd.Series, b: pd.Series, similarity: float, threshold: float) -> p
     ask = np.frombuffer(a["terms"], np.uint64)
     starts, ends = np.searchsorted(terms, ask, "left"), np.searchsorted(terms, ask, "right")
     edge = np.concatenate([[0], np.cumsum(np.frombuffer(a["lens"], np.int32))])
+    sx, sy = (np.frombuffer(r["segs"], np.uint8).reshape(SEGMENTS, -1) for r in (a, b))
+    ratio = (1 - similarity) / (1 + similarity)
     need, m, xs, ys = (threshold - bound - 1e-9) * np.sqrt(ny), len(ny), [], []
     for q in range(0, len(nx), AT_ONCE):
         r = min(q + AT_ONCE, len(nx))
@@ -105,8 +108,12 @@ def search(a: pd.Series, b: pd.Series, similarity: float, threshold: float) -> p
         n = nx[q:r, None]
         ok = (sums > 0) & (sums >= need * np.sqrt(n)) & (ny >= n * similarity - 1e-9) & (ny * similarity <= n + 1e-9)
         i, j = np.nonzero(ok)
-        xs.append(i + q)
-        ys.append(j)
+        i += q
+        for k in range(0, len(i), 1 << 16):  # what is left must also pass the segment counts of near-duplicates
+            p, o = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            keep = apart(sx[:, p], sy[:, o]) <= ratio * (nx[p] + ny[o]) + 1e-9
+            xs.append(p[keep])
+            ys.append(o[keep])
     if not xs:
         return pd.DataFrame({"x": [], "y": []})
     p, o = a["ids"], b["ids"]
@@ -117,10 +124,10 @@ def cosine_links(asked: DataFrame, indexed: DataFrame, similarity: float) -> Dat
     """(x, y, shared, nx, ny): all pairs of an asked and an indexed bag (bag, n, els) that are alike, exactly."""
     count, weight = statistics(indexed, asked)
     shared = asked.sparkSession.sparkContext.broadcast((count, weight))
-    schema = "lo int, hi int, ids binary, sizes binary, lens binary, terms binary, bounds binary"
+    schema = "lo int, hi int, ids binary, sizes binary, lens binary, terms binary, bounds binary, segs binary"
 
     def head(pdf: pd.DataFrame) -> dict:
-        return {"lo": int(pdf["n"].min()), "hi": int(pdf["n"].max()), "ids": b"".join(pdf["bag"]), "sizes": pdf["n"].to_numpy(np.int32).tobytes()}
+        return {"lo": int(pdf["n"].min()), "hi": int(pdf["n"].max()), "ids": b"".join(pdf["bag"]), "sizes": pdf["n"].to_numpy(np.int32).tobytes(), "segs": np.stack([counts(e) for e in pdf["els"]], axis=1).tobytes()}
 
     def pack_asked(pdf: pd.DataFrame) -> dict:
         return {**head(pdf), "lens": pdf["n"].to_numpy(np.int32).tobytes(), "terms": b"".join(pdf["els"]), "bounds": b""}
