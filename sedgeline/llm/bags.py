@@ -66,7 +66,8 @@ def bag_rows(texts: DataFrame, least_words: int) -> DataFrame:
                     keys.append(hashlib.md5(e).digest())
                     sizes.append(len(tokens))
                     els.append(e)
-            yield pd.DataFrame({"id": ids, "bag": keys, "n": sizes, "els": els})
+            if ids:  # an empty column has no type that Arrow takes for text
+                yield pd.DataFrame({"id": ids, "bag": keys, "n": sizes, "els": els})
 
     rows = texts.select("id", "text").where("id is not null and text is not null")
     return rows.mapInPandas(run, "id string, bag binary, n int, els binary").dropDuplicates(["id", "bag"])
