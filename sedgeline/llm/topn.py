@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sedgeline.functions.text import id_lower, id_upper, strip
+from sedgeline.session import cut
 
 #: Rows that a task holds before it hands its survivors on; the bound stays valid for any part of a partition.
 HELD = 200_000
@@ -46,7 +47,7 @@ def top_n(rows: DataFrame, groups: list[str], score: str, ties: list[tuple[str,
             yield best(pd.concat(held))
 
     schema = T.StructType([*rows.schema.fields, T.StructField("__rank", T.LongType())])
-    survivors = rows.mapInPandas(local, schema)
+    survivors = cut(rows.mapInPandas(local, schema))  # read twice: for the bounds and for the rows
     bounds = survivors.where(F.col("__rank") == n - 1).groupBy(*groups).agg(F.max(score).alias("__bound"))
     right = bounds.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], "__bound")
     on = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)]
