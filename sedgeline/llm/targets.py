@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from sedgeline.functions.text import category_key, strip
 from sedgeline.operators.selection import smallest_hashes
+from sedgeline.session import width
 
 FIELDS = ("stratum_id", "rating_group", "review_year")
 #: Cost of a unit that a floor, or else a margin, is short of; every cell arc is cheaper.
@@ -217,7 +218,8 @@ def plan(records: DataFrame, targets: DataFrame, salt: str = "42") -> tuple[Data
             out += [{"niche_id": niche, "target_field": field, "category": given[x["category"]], "kind": "cell", "cell": x["key"], "demand": 0, "available": 0, "floor_short": 0, "margin_short": 0, "quota": x["quota"]} for x in quotas]
         return pd.DataFrame(out, columns=[x.split()[0] for x in REPORT.split(", ")])
 
-    return single, both.groupBy("niche_id").applyInPandas(run, REPORT)
+    spread = both.repartition(width(records.sparkSession), "niche_id")  # few bytes, but each niche is work
+    return single, spread.groupBy("niche_id").applyInPandas(run, REPORT)
 
 
 def shortfalls(records: DataFrame, targets: DataFrame) -> DataFrame:
