@@ -141,7 +141,7 @@ def month_mart(mentions: DataFrame, reviews: DataFrame) -> DataFrame:
     counted = mentions.groupBy(month, "aspect_id").agg(*counters(), F.count_distinct("parent_asin").alias("products"))
     population = reviews.groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("month_reviews"), F.count_distinct("parent_asin").alias("month_products"))
     aspects = mentions.select("aspect_id").distinct()
-    grid = population.crossJoin(F.broadcast(aspects))
+    grid = population.crossJoin(aspects)
     zero = [c for c in counted.columns if c not in ("month", "aspect_id", "rating_sum")]
     mart = shares(grid.join(counted, ["month", "aspect_id"], "left").na.fill(0, zero))
     mart = mart.withColumn("review_share", F.try_divide(F.col("mentions").cast("double"), F.col("month_reviews")))

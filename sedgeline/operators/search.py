@@ -45,7 +45,7 @@ def tfidf_vectors(tf: DataFrame) -> DataFrame:
 def cosine_to(vectors: DataFrame, is_query: Column) -> DataFrame:
     """(id, score): cosine of every other document with the query, by a join on its few terms."""
     q = vectors.where(is_query).select("term", F.col("weight").alias("q"))
-    return vectors.where(~is_query).join(F.broadcast(q.limit(100_000)), "term").groupBy("id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+    return vectors.where(~is_query).join(q, "term").groupBy("id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
 
 
 def similar_documents(df: DataFrame, key: str, text: str, query_id, k: int = 20) -> DataFrame:
@@ -63,7 +63,7 @@ def vocabulary(df: DataFrame, segment: str, text: str, least: int = 5, most_shar
     numbered = grams(docs.withColumn("__id", F.struct(segment, "review_id")), "__id", text, sizes)
     freq = numbered.groupBy(F.col(f"id.{segment}").alias(segment), "term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
     total = docs.groupBy(segment).agg(F.count("*").alias("docs"))
-    kept = freq.join(F.broadcast(total), segment).where(F.col("df") <= most_share * F.col("docs"))
+    kept = freq.join(total, segment).where(F.col("df") <= most_share * F.col("docs"))
     w = Window.partitionBy(segment).orderBy(F.col("df").desc(), "term")
     return kept.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= top).select(segment, "place", "term", "df")
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedgeline.functions import spans
 from sedgeline.functions.text import bucket100, clean_text, fingerprint, spreadsheet_safe, title_key, word_count
-from sedgeline.operators import aspects, catalog, compare, evaluation, ingest, profile, sampling, search, skew, splits
+from sedgeline.operators import aspects, catalog, compare, evaluation, ingest, models, profile, sampling, search, skew, splits, taxonomy
 from sedgeline.plans import views
 from sedgeline.plans.views import COUNTERS, MANIFEST, MENTIONS, PREDICTIONS, PRODUCTS, REVIEWS
 from sedgeline.session import table
@@ -599,3 +600,59 @@ def error_clues(spark, d):
 @query()
 def bootstrap_intervals(spark, d):
     return evaluation.bootstrap(views.predictions(spark, d), "parent_asin", "sentiment_label", "predicted_label")
+
+
+# ------------------------------------------------------------------ observations, taxonomy, models
+
+
+def _observations(spark, d):
+    """Aspect mentions as labelled observations: the label is the aspect in the spelling of the row."""
+    m = table(spark, d, "aspect_marts").where("review_id is not null")
+    return m.select("review_id", F.upper(F.trim("parent_asin")).alias("parent_asin"), F.trim("aspect_id").alias("label"), F.lower(F.trim("aspect_sentiment")).alias("topic_type"), F.lit(1).alias("weight"), (F.year("review_timestamp") * 12 + F.month("review_timestamp")).cast("long").alias("batch"))
+
+
+OBSERVED = """WITH o AS (SELECT review_id, upper(trim(parent_asin)) AS parent_asin, trim(aspect_id) AS label, nullif(trim(regexp_replace(lower(trim(aspect_id)), '[^a-z0-9]+', ' ', 'g')), '') AS candidate_key,
+year(review_timestamp AT TIME ZONE 'UTC') * 12 + month(review_timestamp AT TIME ZONE 'UTC') AS batch FROM aspect_marts WHERE review_id IS NOT NULL)"""
+
+
+@query(OBSERVED + """, one AS (SELECT candidate_key, review_id, min(parent_asin) AS parent_asin, count(*) AS mentions FROM o WHERE candidate_key IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT candidate_key, CAST(sum(mentions) AS BIGINT) AS mentions, count(*) AS reviews, count(DISTINCT parent_asin) AS products FROM one GROUP BY 1),
+l AS (SELECT candidate_key, label, row_number() OVER (PARTITION BY candidate_key ORDER BY count(*) DESC, label) AS k FROM o WHERE candidate_key IS NOT NULL GROUP BY 1, 2)
+SELECT s.*, label AS canonical_label, row_number() OVER (ORDER BY reviews DESC, s.candidate_key) AS support_rank, reviews >= 2 AND products >= 2 AS eligible FROM s JOIN l ON l.candidate_key = s.candidate_key AND k = 1""")
+def candidate_support(spark, d):
+    return taxonomy.candidates(_observations(spark, d)).select("candidate_key", "mentions", "reviews", "products", "canonical_label", "support_rank", "eligible")
+
+
+@query(OBSERVED + """, f AS (SELECT candidate_key, min(batch) AS first FROM o WHERE candidate_key IS NOT NULL GROUP BY 1), n AS (SELECT first // 3 + 1 AS checkpoint, count(*) AS new_candidates FROM f GROUP BY 1),
+p AS (SELECT unnest(range(24241 // 3 + 1, (SELECT max(batch) FROM o) // 3 + 2)) AS checkpoint)
+SELECT p.checkpoint, coalesce(new_candidates, 0) AS new_candidates, CAST(sum(coalesce(new_candidates, 0)) OVER (ORDER BY p.checkpoint) AS BIGINT) AS candidates, coalesce(new_candidates, 0) <= 5 AS low_growth FROM p LEFT JOIN n ON n.checkpoint = p.checkpoint""")
+def saturation(spark, d):
+    s = taxonomy.saturation(_observations(spark, d), "batch", 3)
+    return s.where(F.col("checkpoint") >= 24241 // 3 + 1)
+
+
+@query(f"""WITH {MANIFEST}, s AS (SELECT review_id, sentiment_label, row_number() OVER (PARTITION BY sentiment_label ORDER BY md5(review_id || ':42'), review_id) AS r FROM man WHERE split_name = 'validation')
+SELECT review_id, (row_number() OVER (ORDER BY r, sentiment_label, review_id) - 1) // 10 AS batch FROM s""")
+def request_batches(spark, d):
+    rows = views.manifest(spark, d).where("split_name = 'validation'").select("review_id", "sentiment_label")
+    return taxonomy.batches(rows, "sentiment_label", 10).select("review_id", "batch")
+
+
+@query()
+def sentiment_model(spark, d):
+    """Train on the training reviews, score the others: class metrics by split."""
+    p = views.predictions(spark, d).select("review_id", "review_text", "sentiment_label").join(views.manifest(spark, d).select("review_id", "split_name"), "review_id")
+    model = models.train(p.where("split_name = 'train'"), "review_text", "sentiment_label", least_df=2)
+    scored = models.predict(model, p.where("split_name <> 'train'"), "review_text", "sentiment_label")
+    return evaluation.class_metrics(scored, "sentiment_label", "predicted_label")
+
+
+@query()
+def latent_vectors(spark, d):
+    return models.lsa_vectors(views.products(spark, d), "parent_asin", "product_search_text", 16)
+
+
+@query()
+def sentence_pieces(spark, d):
+    t = table(spark, d, "documents").where("text is not null")
+    return t.select("doc_id", F.explode(spans.sentence_spans("text")).alias("s")).select("doc_id", "s.start", "s.end")
