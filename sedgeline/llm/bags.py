@@ -28,6 +28,8 @@ STEP = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 #: Words that a task remembers the hash of.
 CACHE = 300_000
+#: Bytes of a block, and rows that are added to it at once.
+BLOCK_BYTES, STEP_ROWS = 16 << 20, 512
 
 
 def words(text: str | None) -> list[str]:
@@ -73,17 +75,27 @@ def bag_rows(texts: DataFrame, least_words: int) -> DataFrame:
     return rows.mapInPandas(run, "id string, bag binary, n int, els binary").dropDuplicates(["id", "bag"])
 
 
-def wrap(rows: DataFrame, order: list[str], size: int, pack: Callable[[pd.DataFrame], dict], schema: str, count: int) -> DataFrame:
-    """Rows in blocks of about ``size``, ranged by ``order``: (block, ...) as ``pack`` makes of each."""
+def wrap(rows: DataFrame, order: list[str], size: int, pack: Callable[[pd.DataFrame], dict], schema: str, count: int, heavy: str) -> DataFrame:
+    """Rows in blocks of at most about ``size`` rows and BLOCK_BYTES of the column ``heavy``, ranged by ``order``: (block, ...) as ``pack`` makes of each."""
     parts = max(1, math.ceil(count / size))
     ranged = (rows.repartitionByRange(parts, *order) if parts > 1 else rows.coalesce(1)).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, part = list(batches), TaskContext.get().partitionId()
-        pdf = pd.concat(held, ignore_index=True) if held else None
-        if pdf is not None:
-            for i in range(0, len(pdf), 2 * size):  # a range may come out larger than asked
-                yield pd.DataFrame([{"block": part * 4096 + i // (2 * size), **pack(pdf.iloc[i : i + 2 * size].reset_index(drop=True))}])
+        part, number, held, rows, weight = TaskContext.get().partitionId(), 0, [], 0, 0
+        for pdf in batches:
+            for i in range(0, len(pdf), STEP_ROWS):
+                own = pdf.iloc[i : i + STEP_ROWS]
+                held.append(own)
+                rows += len(own)
+                weight += int(own[heavy].map(len).sum())
+                if rows >= size or weight >= BLOCK_BYTES:
+                    yield block(part, number, held)
+                    number, held, rows, weight = number + 1, [], 0, 0
+        if held:
+            yield block(part, number, held)
+
+    def block(part: int, number: int, held: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.DataFrame([{"block": (part << 24) + number, **pack(pd.concat(held, ignore_index=True))}])
 
     return cut(ranged.mapInPandas(run, f"block long, {schema}"))
 

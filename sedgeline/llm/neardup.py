@@ -19,6 +19,8 @@ any size is one text here.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,8 +46,23 @@ def counts(els: bytes) -> np.ndarray:
     return np.minimum(np.bincount((e >> np.uint64(57)).astype(np.int64), minlength=SEGMENTS), 255).astype(np.uint8)
 
 
+def embedded(bags: DataFrame) -> DataFrame:
+    """(bag, n, segs): the popcounts of every bag, of one size whatever the text's."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["bag", "n"]].assign(segs=[counts(e).tobytes() for e in pdf["els"]])
+
+    return bags.select("bag", "n", "els").mapInPandas(run, "bag binary, n int, segs binary")
+
+
+def columns(rows: pd.Series) -> np.ndarray:
+    """Popcounts of rows as the columns of one array."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(rows), np.uint8).reshape(-1, SEGMENTS).T)
+
+
 def pack(pdf: pd.DataFrame) -> dict:
-    segs = np.stack([counts(e) for e in pdf["els"]], axis=1)
+    segs = columns(pdf["segs"])
     return {"lo": int(pdf["n"].min()), "hi": int(pdf["n"].max()), "ids": b"".join(pdf["bag"]), "sizes": pdf["n"].to_numpy(np.int32).tobytes(), "segs": segs.tobytes()}
 
 
@@ -107,7 +124,7 @@ def block_pairs(a: pd.Series, b: pd.Series, similarity: float) -> pd.DataFrame:
 def links(bags: DataFrame, similarity: float) -> DataFrame:
     """(x, y, shared, nx, ny): all pairs of different bags with intersection over union of at least ``similarity``."""
     total = bags.count()
-    blocks = wrap(bags.select("bag", "n", "els"), ["n", "bag"], BLOCK, pack, "lo int, hi int, ids binary, sizes binary, segs binary", total)
+    blocks = wrap(embedded(bags), ["n", "bag"], BLOCK, pack, "lo int, hi int, ids binary, sizes binary, segs binary", total, "segs")
     pairs = length_pairs(blocks, blocks, similarity).where(F.col("a") <= F.col("b"))
     found = meet(blocks, blocks, pairs, lambda a, b: block_pairs(a, b, similarity), "x binary, y binary")
     return verified(cut(found), bags, similarity)

@@ -136,8 +136,8 @@ def cosine_links(asked: DataFrame, indexed: DataFrame, similarity: float) -> Dat
         parts = [first_part(np.frombuffer(e, np.uint64), *shared.value) for e in pdf["els"]]
         return {**head(pdf), "lens": np.array([len(p) for p, _ in parts], np.int32).tobytes(), "terms": b"".join(p.tobytes() for p, _ in parts), "bounds": np.array([x for _, x in parts], np.float64).tobytes()}
 
-    one = wrap(asked, ["n", "bag"], ASKED, pack_asked, schema, asked.count())
-    two = wrap(indexed, ["n", "bag"], INDEXED, pack_indexed, schema, indexed.count())
+    one = wrap(asked, ["n", "bag"], ASKED, pack_asked, schema, asked.count(), "els")
+    two = wrap(indexed, ["n", "bag"], INDEXED, pack_indexed, schema, indexed.count(), "els")
     threshold = 2 * similarity / (1 + similarity)
     found = meet(one, two, length_pairs(one, two, similarity), lambda a, b: search(a, b, similarity, threshold), "x binary, y binary")
     both = asked.unionByName(indexed).dropDuplicates(["bag"])
