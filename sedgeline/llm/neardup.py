@@ -31,11 +31,13 @@ from sedgeline.llm.bags import bag_rows, length_pairs, meet, verified, wrap
 from sedgeline.llm.components import hash_to_min
 from sedgeline.session import cut
 
-SEGMENTS, COARSE = 128, 32
+SEGMENTS, COARSE = 64, 32
 #: Texts in a block.
 BLOCK = 8_192
 #: Texts that are compared at once.
 STRIP = 2_048
+#: Pairs that wait for the test of all segments.
+WAITING = 1 << 16
 #: A class of equal texts with more members gives the pairs of its representative instead of all pairs.
 EXPANDED = 100
 
@@ -43,7 +45,7 @@ EXPANDED = 100
 def counts(els: bytes) -> np.ndarray:
     """Popcounts by segment; more than 255 count as 255, which lowers a distance and never raises it."""
     e = np.frombuffer(els, np.uint64)
-    return np.minimum(np.bincount((e >> np.uint64(57)).astype(np.int64), minlength=SEGMENTS), 255).astype(np.uint8)
+    return np.minimum(np.bincount((e >> np.uint64(64 - SEGMENTS.bit_length() + 1)).astype(np.int64), minlength=SEGMENTS), 255).astype(np.uint8)
 
 
 def embedded(bags: DataFrame) -> DataFrame:
@@ -56,22 +58,16 @@ def embedded(bags: DataFrame) -> DataFrame:
     return bags.select("bag", "n", "els").mapInPandas(run, "bag binary, n int, segs binary")
 
 
-def columns(rows: pd.Series) -> np.ndarray:
-    """Popcounts of rows as the columns of one array."""
-    return np.ascontiguousarray(np.frombuffer(b"".join(rows), np.uint8).reshape(-1, SEGMENTS).T)
-
-
 def pack(pdf: pd.DataFrame) -> dict:
-    segs = columns(pdf["segs"])
-    return {"lo": int(pdf["n"].min()), "hi": int(pdf["n"].max()), "ids": b"".join(pdf["bag"]), "sizes": pdf["n"].to_numpy(np.int32).tobytes(), "segs": segs.tobytes()}
+    return {"lo": int(pdf["n"].min()), "hi": int(pdf["n"].max()), "ids": b"".join(pdf["bag"]), "sizes": pdf["n"].to_numpy(np.int32).tobytes(), "segs": b"".join(pdf["segs"])}
 
 
 def unpack(r: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes, counts by segment, and their sums in COARSE groups, again of at most 255."""
+    """Sizes, counts by segment (a row a text), and their sums in COARSE groups (a column a text), again of at most 255."""
     n = np.frombuffer(r["sizes"], np.int32)
-    segs = np.frombuffer(r["segs"], np.uint8).reshape(SEGMENTS, len(n))
-    coarse = segs.reshape(COARSE, -1, len(n)).sum(axis=1, dtype=np.uint16)
-    return n, segs, np.minimum(coarse, 255).astype(np.uint8)
+    segs = np.frombuffer(r["segs"], np.uint8).reshape(len(n), SEGMENTS)
+    coarse = segs.reshape(len(n), COARSE, -1).sum(axis=2, dtype=np.uint16)
+    return n, segs, np.ascontiguousarray(np.minimum(coarse, 255).astype(np.uint8).T)
 
 
 def distances(x: np.ndarray, ys: np.ndarray, held: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -88,8 +84,8 @@ def distances(x: np.ndarray, ys: np.ndarray, held: tuple[np.ndarray, np.ndarray]
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Manhattan distances of the columns of ``a`` and ``b``, one by one."""
-    return (np.maximum(a, b) - np.minimum(a, b)).sum(axis=0, dtype=np.int32)
+    """Manhattan distances of the rows of ``a`` and ``b``, one by one."""
+    return (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int32)
 
 
 def block_pairs(a: pd.Series, b: pd.Series, similarity: float) -> pd.DataFrame:
@@ -101,19 +97,32 @@ def block_pairs(a: pd.Series, b: pd.Series, similarity: float) -> pd.DataFrame:
     hi = np.searchsorted(nb, np.floor(na / similarity + 1e-9), "right")
     held = np.empty((COARSE, STRIP), np.uint8), np.empty((COARSE, STRIP), np.uint8)
     strips = [np.ascontiguousarray(cb[:, k : k + STRIP]) for k in range(0, len(nb), STRIP)]
-    xs, ys = [], []
+    near: list[tuple[int, np.ndarray]] = []
+    xs, ys, waiting = [], [], 0
+
+    def settle() -> None:
+        """Distances over all segments for what the coarse sums let through, many texts at once."""
+        nonlocal near, waiting
+        if near:
+            x, y = np.repeat([i for i, _ in near], [len(at) for _, at in near]), np.concatenate([at for _, at in near])
+            keep = apart(sa[x], sb[y]) <= ratio * (na[x] + nb[y]) + 1e-9
+            xs.append(x[keep])
+            ys.append(y[keep])
+        near, waiting = [], 0
+
     for i in range(len(na)):
         s, e = (max(lo[i], i + 1) if same else lo[i]), hi[i]
         x = ca[:, i : i + 1]
         for k in range(s // STRIP, -(-e // STRIP) if e > s else 0):
             p, q = max(s, k * STRIP), min(e, (k + 1) * STRIP)
-            most = int(ratio * (na[i] + nb[q - 1]) + 1e-9)
-            at = np.flatnonzero(distances(x, strips[k][:, p - k * STRIP : q - k * STRIP], held) <= min(most, 255)) + p
+            most = min(int(ratio * (na[i] + nb[q - 1]) + 1e-9), 255)
+            at = np.flatnonzero(distances(x, strips[k][:, p - k * STRIP : q - k * STRIP], held) <= most)
             if len(at):
-                at = at[apart(sa[:, i : i + 1], sb[:, at]) <= np.floor(ratio * (na[i] + nb[at]) + 1e-9)]
-                if len(at):
-                    xs.append(np.full(len(at), i))
-                    ys.append(at)
+                near.append((i, at + p))
+                waiting += len(at)
+        if waiting > WAITING:
+            settle()
+    settle()
     if not xs:
         return pd.DataFrame({"x": [], "y": []})
     x, y = np.concatenate(xs), np.concatenate(ys)
