@@ -93,9 +93,10 @@ def search(a: pd.Series, b: pd.Series, similarity: float, threshold: float) -> p
     ask = np.frombuffer(a["terms"], np.uint64)
     starts, ends = np.searchsorted(terms, ask, "left"), np.searchsorted(terms, ask, "right")
     edge = np.concatenate([[0], np.cumsum(np.frombuffer(a["lens"], np.int32))])
-    sx, sy = (np.frombuffer(r["segs"], np.uint8).reshape(SEGMENTS, -1) for r in (a, b))
+    sx, sy = (np.frombuffer(r["segs"], np.uint8).reshape(-1, SEGMENTS) for r in (a, b))
     ratio = (1 - similarity) / (1 + similarity)
     need, m, xs, ys = (threshold - bound - 1e-9) * np.sqrt(ny), len(ny), [], []
+    least = need.min()
     for q in range(0, len(nx), AT_ONCE):
         r = min(q + AT_ONCE, len(nx))
         s, size = starts[edge[q] : edge[r]], ends[edge[q] : edge[r]] - starts[edge[q] : edge[r]]
@@ -105,13 +106,14 @@ def search(a: pd.Series, b: pd.Series, similarity: float, threshold: float) -> p
         own = np.repeat(np.arange(r - q), np.diff(edge[q : r + 1]))
         at = np.repeat(s - (np.cumsum(size) - size), size) + np.arange(total)
         sums = np.bincount(np.repeat(own, size) * m + docs[at], minlength=(r - q) * m).reshape(r - q, m)
-        n = nx[q:r, None]
-        ok = (sums > 0) & (sums >= need * np.sqrt(n)) & (ny >= n * similarity - 1e-9) & (ny * similarity <= n + 1e-9)
-        i, j = np.nonzero(ok)
-        i += q
+        # first by the least sum that any text of the block needs, then each pair by its own bound
+        i, j = np.nonzero(sums >= np.maximum(1, np.floor(least * np.sqrt(nx[q:r])))[:, None])
+        n = nx[i + q]
+        ok = (sums[i, j] >= need[j] * np.sqrt(n)) & (ny[j] >= n * similarity - 1e-9) & (ny[j] * similarity <= n + 1e-9)
+        i, j = i[ok] + q, j[ok]
         for k in range(0, len(i), 1 << 16):  # what is left must also pass the segment counts of near-duplicates
             p, o = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            keep = apart(sx[:, p], sy[:, o]) <= ratio * (nx[p] + ny[o]) + 1e-9
+            keep = apart(sx[p], sy[o]) <= ratio * (nx[p] + ny[o]) + 1e-9
             xs.append(p[keep])
             ys.append(o[keep])
     if not xs:
@@ -127,7 +129,7 @@ def cosine_links(asked: DataFrame, indexed: DataFrame, similarity: float) -> Dat
     schema = "lo int, hi int, ids binary, sizes binary, lens binary, terms binary, bounds binary, segs binary"
 
     def head(pdf: pd.DataFrame) -> dict:
-        return {"lo": int(pdf["n"].min()), "hi": int(pdf["n"].max()), "ids": b"".join(pdf["bag"]), "sizes": pdf["n"].to_numpy(np.int32).tobytes(), "segs": np.stack([counts(e) for e in pdf["els"]], axis=1).tobytes()}
+        return {"lo": int(pdf["n"].min()), "hi": int(pdf["n"].max()), "ids": b"".join(pdf["bag"]), "sizes": pdf["n"].to_numpy(np.int32).tobytes(), "segs": b"".join(counts(e).tobytes() for e in pdf["els"])}
 
     def pack_asked(pdf: pd.DataFrame) -> dict:
         return {**head(pdf), "lens": pdf["n"].to_numpy(np.int32).tobytes(), "terms": b"".join(pdf["els"]), "bounds": b""}
