@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sedgeline.functions.text import bucket100, fingerprint
 from sedgeline.operators.sampling import order_key
+from sedgeline.session import cut
 
 #: Bucket borders: train below the first, validation below the second, test from there.
 TRAIN_BELOW, VALIDATION_BELOW = 80, 90
@@ -54,7 +55,8 @@ def sentiment_sample(reviews: DataFrame, catalog: DataFrame, leaf: str, cutoff:
     drawn without regard to class, only of products that the selected training rows hold. Constant limits let
     Spark cut each task's part of a window before the shuffle.
     """
-    unique = one_text_per_split(candidates(labelled(reviews, catalog, leaf), cutoff), seed)
+    # both are read several times: cut, so that hashes and windows are formed once
+    unique = cut(one_text_per_split(cut(candidates(labelled(reviews, catalog, leaf), cutoff)), seed))
     by_class = Window.partitionBy("split_name", "sentiment_label").orderBy(F.md5(F.concat_ws(":", "review_id", "sentiment_label", F.lit(str(seed)))), "review_id")
     quota = F.create_map(*[F.lit(x) for kv in per_class.items() for x in kv])
     classed = unique.where(F.col("split_name").isin(list(per_class))).withColumn("rn", F.row_number().over(by_class)).where((F.col("rn") <= max(per_class.values())) & (F.col("rn") <= quota[F.col("split_name")])).drop("rn")
