@@ -385,7 +385,10 @@ def learn(documents: DataFrame) -> Model:
     for r in by.where((F.col("n") >= 3) & (F.col("n") >= F.lit(SHARE) * size[F.col("lang")] / 10) & (F.col("a") < 0.75 * F.col("n"))).collect():
         a0, n0 = base.get(r["lang"], (0, 0))
         rate = max(0.5, a0 / n0) if n0 else 0.9
-        if r["a"] / r["n"] < 0.75 * rate and dunning(r["a"], r["n"], rate * 10 * r["n"], 10 * r["n"]) > SIGNIFICANT / 2:
+        own = script(r["token"][:1])
+        fits = own in ("", r["lang"]) or own == "latin" and r["lang"] in model.prior
+        need = SIGNIFICANT / 2 if len(r["token"]) <= 4 else 1.5 * SIGNIFICANT  # long tokens end sentences more often than they are abbreviations
+        if fits and r["a"] / r["n"] < 0.75 * rate and dunning(r["a"], r["n"], rate * 10 * r["n"], 10 * r["n"]) > need:
             model.short[r["lang"]].add(r["token"])
     tokens = [k for v in model.short.values() for k in v]
     model.pairs = {(r["lang"], r["token"], r["word"]) for r in follow.where("what = 'pair'").where(F.col("token").isin(tokens)).select("lang", "token", "word").collect()} if tokens else set()
@@ -517,10 +520,11 @@ class Splitter:
         known = own in self.m.short.get(lang, ()) or own in self.m.short.get(self.lang, ())
         if c.islower() and not self.uncased:
             known = known or any(own in v for v in self.m.short.values())
-        if known or initial:
+        foreign = not known and len(own) <= 3 and own.isalpha() and any(own in v for v in self.m.short.values())
+        if known or initial or foreign:
             if c.isdigit() or (len(w) == 1 and t[at + 1 : at + 2] == "."):
                 return False
-            starter = low in self.m.starters.get(key, ())
+            starter = low in self.m.starters.get(key, ()) or foreign and any(low in v for v in self.m.starters.values())
             if c.islower() or shout:
                 return (self.uncased or shout) and starter and (lang, own, low) not in self.m.pairs
             return starter
