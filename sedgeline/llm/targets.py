@@ -47,7 +47,7 @@ def classified(records: DataFrame) -> DataFrame:
         category_key("rating_group"),
         F.when(r.isin(1.0, 2.0), "low_1_2").when(r == 3.0, "mid_3").when(r.isin(4.0, 5.0), "high_4_5"),
     )
-    year = F.coalesce(category_key(F.col("review_year").cast("string")), F.year("review_timestamp").cast("string"))
+    year = F.coalesce(category_key(F.col("review_year").cast("string")), F.year(F.to_utc_timestamp("review_timestamp", F.current_timezone())).cast("string"))
     rows = records.select(F.nullif(strip("niche_id"), F.lit("")).alias("niche_id"), F.nullif(strip("review_id"), F.lit("")).alias("review_id"), group.alias("rating_group"), year.alias("review_year"), category_key("stratum_id").alias("s"), category_key("length_bucket").alias("l"))
     built = F.concat(F.col("rating_group"), F.lit("|"), F.col("review_year"), F.lit("|"), F.col("l"))
     return rows.select("niche_id", "review_id", F.coalesce("s", built).alias("stratum_id"), "rating_group", "review_year").where("niche_id is not null and review_id is not null").distinct()
