@@ -80,3 +80,10 @@ def manual_summary(rows: DataFrame, label: str = "sentiment_label", predicted: s
     agree = lambda x: F.count_if(done & (F.col(manual) == F.col(x)))
     out = rows.groupBy(group).agg(F.count("*").alias("rows"), F.count_if(done).alias("reviewed"), agree(label).alias("agrees_with_label"), agree(predicted).alias("agrees_with_prediction"))
     return out.withColumns({f"{k}_rate": F.try_divide(F.col(k).cast("double"), F.col("reviewed")) for k in ("agrees_with_label", "agrees_with_prediction")})
+
+
+def set_relation(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """SET3: (only_first, only_second, both): distinct keys of two frames, from which subset, disjointness and equality follow."""
+    x, y = a.select(key).distinct().withColumn("__a", F.lit(1)), b.select(key).distinct().withColumn("__b", F.lit(1))
+    both = x.join(y, key, "full_outer")
+    return both.agg(F.count_if(F.col("__b").isNull()).alias("only_first"), F.count_if(F.col("__a").isNull()).alias("only_second"), F.count_if(F.col("__a").isNotNull() & F.col("__b").isNotNull()).alias("both"))

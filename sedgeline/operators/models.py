@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sedgeline.functions.spans import aspect_context
 from sedgeline.operators.sampling import fold
 from sedgeline.operators.search import grams, tfidf_vectors
 
@@ -121,6 +122,19 @@ def hybrid_mentions(alias: DataFrame, model: DataFrame) -> DataFrame:
     return both.select("review_id", "aspect_id", "probability", sources.alias("sources"))
 
 
+def score_contexts(model: PipelineModel, mentions: DataFrame, reviews: DataFrame, label: str = "label") -> DataFrame:
+    """ML8: the sentiment of every mention (review_id, aspect_id, evidence) from the sentences that hold its evidence.
+
+    ``evidence`` is array<struct<text,start,end>> over the review's text; offsets that do not give their
+    text are an error. Spark's batches take the place of a separate batched form: both are this plan.
+    """
+    own = mentions.join(reviews.select("review_id", "text"), "review_id")
+    spans = F.transform("evidence", lambda e: F.struct(e["start"].cast("int").alias("start"), e["end"].cast("int").alias("end"), e["text"].alias("text")))
+    context = own.withColumn("aspect_context", aspect_context("text", spans)).drop("text")
+    scored = predict(model, context.withColumnRenamed("aspect_context", "text"), "text", label)
+    return scored.withColumnRenamed("text", "aspect_context").withColumnRenamed("predicted_label", "aspect_sentiment").withColumnRenamed("model_score", "aspect_sentiment_score")
+
+
 #: Terms of a latent space, and rows that its decomposition is fitted on.
 LATENT_TERMS, LATENT_SAMPLE = 4000, 5_000
 

@@ -144,3 +144,26 @@ def test_taxonomy(spark):
     assert [r["aspects"] for r in taxonomy.training_labels(o, owners).collect()] == [["scent"], ["scent"]]
     b = taxonomy.batches(spark.createDataFrame([(f"r{i}", "a" if i < 6 else "b") for i in range(8)], "review_id string, s string"), "s", 4).collect()
     assert sorted(r["batch"] for r in b) == [0] * 4 + [1] * 4 and {r["s"] for r in b if r["batch"] == 0} == {"a", "b"}
+
+
+def test_context_sentiment(spark):
+    rows = [("lovely great scent" if i % 2 else "broken bad pump", "positive" if i % 2 else "negative") for i in range(40)]
+    m = models.train(spark.createDataFrame(rows, "text string, label string"), "text", "label", 1)
+    text = "A broken bad pump. But a lovely great scent!"
+    reviews = spark.createDataFrame([("r1", text)], "review_id string, text string")
+    spot = lambda w: [(w, text.index(w), text.index(w) + len(w))]
+    mentions = spark.createDataFrame([("r1", "pump", spot("pump")), ("r1", "scent", spot("scent"))], "review_id string, aspect_id string, evidence array<struct<text:string,start:int,end:int>>")
+    got = {r["aspect_id"]: r for r in models.score_contexts(m, mentions, reviews).collect()}
+    assert got["pump"]["aspect_context"] == "A broken bad pump." and got["pump"]["aspect_sentiment"] == "negative"
+    assert got["scent"]["aspect_sentiment"] == "positive" and got["scent"]["aspect_sentiment_score"] > 0.5
+
+
+def test_queue_and_sets(spark):
+    from sedgeline.operators import checks, sampling
+
+    df = spark.createDataFrame([(f"r{i}", "=x") for i in range(5)], "review_id string, text string")
+    q = sampling.annotation_queue(df, "review_id", "eval").collect()
+    assert sorted(r["row_id"] for r in q) == [f"eval:000{i}" for i in range(1, 6)] and {r["text"] for r in q} == {"'=x"}
+    assert [r["review_id"] for r in sorted(q, key=lambda r: r["row_id"])] == [r["review_id"] for r in sorted(sampling.annotation_queue(df.repartition(3), "review_id", "eval").collect(), key=lambda r: r["row_id"])]
+    other = spark.createDataFrame([("r1",), ("r9",), ("r9",)], "review_id string")
+    assert tuple(checks.set_relation(df, other, "review_id").first()) == (4, 1, 1)
