@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from sedgeline.functions.text import strip
 from sedgeline.llm.bags import bag_rows, length_pairs, meet, verified, wrap
 from sedgeline.llm.components import hash_to_min
-from sedgeline.session import cut
+from sedgeline.session import cut, width
 
 SEGMENTS, COARSE = 64, 32
 #: Texts in a block.
@@ -38,8 +38,10 @@ BLOCK = 8_192
 STRIP = 2_048
 #: Pairs that wait for the test of all segments.
 WAITING = 1 << 16
-#: A class of equal texts with more members gives the pairs of its representative instead of all pairs.
+#: A class of equal bags with more members gives the pairs of its representative instead of all pairs in ``alike_pairs``.
 EXPANDED = 100
+#: Ids of a class of equal texts that meet those of another part at once.
+PART = 512
 
 
 def counts(els: bytes) -> np.ndarray:
@@ -152,12 +154,12 @@ def parts(texts: DataFrame, similarity: float, least_words: int) -> tuple[DataFr
 
 
 def alike_pairs(texts: DataFrame, similarity: float = 0.7, least_words: int = 20) -> DataFrame:
-    """(id_1, id_2): pairs of different ids, smaller first, whose texts are alike.
+    """(id_1, id_2): pairs of different ids, smaller first, whose texts are alike; a summary where classes are large.
 
-    Classes of equal texts with up to EXPANDED members enter with every member.
+    Classes of equal bags with up to EXPANDED members enter with every member.
     A larger class enters with its smallest id towards other texts, and within
-    itself as that id with each other member: no link between different texts is lost
-    and no group of copies is squared. Texts with fewer than ``least_words``
+    itself as that id with each other member, so that no group of copies is squared;
+    the links of its other members are left out. ``all_pairs`` gives every pair. Texts with fewer than ``least_words``
     words, null texts and ids are left out; an id with several texts is alike to another by any of them.
     """
     members, between = parts(texts, similarity, least_words)
@@ -176,6 +178,27 @@ def alike_pairs(texts: DataFrame, similarity: float = 0.7, least_words: int = 20
     return both.select(F.least("p", "q").alias("id_1"), F.greatest("p", "q").alias("id_2")).distinct()
 
 
+def all_pairs(texts: DataFrame, similarity: float = 0.7, least_words: int = 20) -> DataFrame:
+    """(id_1, id_2): all pairs of different ids, smaller first, whose texts are alike, classes of equal bags of any size included.
+
+    The members of a class are dealt into parts of about PART ids by their hash; a link between
+    two classes, or of a class with itself, is a row for each pair of parts, so that no
+    task writes more than about PART x PART pairs at once. Texts with fewer than ``least_words``
+    words, null texts and ids are left out; an id with several texts is alike to another by any of them.
+    """
+    members, between = parts(texts, similarity, least_words)
+    sizes = cut(members.groupBy("bag").agg(F.count("*").alias("size")).withColumn("cuts", F.ceil(F.col("size") / PART).cast("int")))
+    held = members.join(sizes, "bag").withColumn("part", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).groupBy("bag", "part").agg(F.collect_list("id").alias("ids"))
+    own = sizes.where("size > 1").select(F.col("bag").alias("x"), F.col("bag").alias("y"), F.col("cuts").alias("cx"), F.col("cuts").alias("cy"))
+    other = between.select("x", "y").join(sizes.select(F.col("bag").alias("x"), F.col("cuts").alias("cx")), "x").join(sizes.select(F.col("bag").alias("y"), F.col("cuts").alias("cy")), "y").select("x", "y", "cx", "cy")
+    units = own.unionByName(other).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cx") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cy") - 1))).where("x <> y or i <= j").select("x", "y", "i", "j")
+    held = cut(held)
+    met = units.join(held.select(F.col("bag").alias("x"), F.col("part").alias("i"), F.col("ids").alias("ps")), ["x", "i"]).join(held.select(F.col("bag").alias("y"), F.col("part").alias("j"), F.col("ids").alias("qs")), ["y", "j"])
+    spread = met.repartition(4 * width(texts.sparkSession), "x", "y", "i", "j")
+    once = spread.withColumn("p", F.explode("ps")).select("x", "y", "i", "j", "p", F.explode("qs").alias("q")).where("p <> q and (x <> y or i <> j or p < q)")
+    return once.select(F.least("p", "q").alias("id_1"), F.greatest("p", "q").alias("id_2")).distinct()
+
+
 def groups(texts: DataFrame, similarity: float = 0.7, least_words: int = 20) -> DataFrame:
     """(id, class_id, links): every text with enough words once, its class and the other texts it is alike to.
 

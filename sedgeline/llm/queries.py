@@ -27,7 +27,7 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = neardup.alike_pairs(neardup.review_texts(table(spark, d, "error_analysis")))
+    pairs = neardup.all_pairs(neardup.review_texts(table(spark, d, "error_analysis")))
     return pairs.select(F.col("id_1").alias("review_id_1"), F.col("id_2").alias("review_id_2"))
 
 

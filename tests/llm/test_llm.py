@@ -105,6 +105,15 @@ def test_many_copies_are_a_star(spark, monkeypatch):
     assert got == {("c0", f"c{i}") for i in range(1, 6)} | {("c0", "z")}
 
 
+def test_all_pairs_at_any_class_size(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(neardup, "PART", 16)
+    mixed = list(reversed(BASE))
+    texts = [(f"c{i:03}", " ".join(BASE if i % 2 else mixed)) for i in range(101)] + [("z", " ".join(BASE[:-1])), ("far", " ".join(f"w{i}" for i in range(25)))]
+    spark.createDataFrame([(i, None, t) for i, t in texts], "review_id string, review_title string, review_text string").write.parquet(str(tmp_path / "error_analysis.parquet"))
+    got = [tuple(r) for r in QUERIES["p2_found"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) == 5050 + 101 and set(got) == brute(texts)
+
+
 def test_popcounts_bound_the_distance():
     for s, t in (("a b c d e f", "a b c x y"), ("a a a b", "a b b b c")):
         x, y = (bags.elements(bags.words(v), {}) for v in (s, t))
