@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -14,7 +19,8 @@ from pyspark.sql import types as T
 
 from sedgeline.functions.spans import aspect_context
 from sedgeline.operators.sampling import fold
-from sedgeline.operators.search import grams, tfidf_vectors
+from sedgeline.operators.search import STOP
+from sedgeline.session import cut, width
 
 
 def tfidf_pipeline(text: str, label: str, terms: int = 100_000, least_df: int = 5, penalty: float = 1.0) -> Pipeline:
@@ -135,37 +141,154 @@ def score_contexts(model: PipelineModel, mentions: DataFrame, reviews: DataFrame
     return scored.withColumnRenamed("text", "aspect_context").withColumnRenamed("predicted_label", "aspect_sentiment").withColumnRenamed("model_score", "aspect_sentiment_score")
 
 
-#: Terms of a latent space, and rows that its decomposition is fitted on.
-LATENT_TERMS, LATENT_SAMPLE = 4000, 5_000
+#: Terms and components of a latent space; directions kept beside them and passes while its axes are sought.
+LATENT_TERMS, LATENT_SIZE, LATENT_SPARE, LATENT_PASSES = 30_000, 128, 32, 7
+#: Rows of a block of the term matrix, directions that a job multiplies, and sums of these that the driver takes at once.
+LATENT_BLOCK, LATENT_COLUMNS, LATENT_DIRECT = 512, 32, 16
+_LATENT_WORD, _LATENT_STOP = re.compile(r"\b\w\w+\b"), frozenset(STOP)
 
 
-def lsa_vectors(rows: DataFrame, key: str, text: str, size: int = 64, seed: int = 42) -> DataFrame:
-    """ML10: (key, embedding): latent vectors of every row, scaled to length 1.
+def latent_terms(text: str | None) -> Counter:
+    """Words of two or more letters or digits of any script without stop words, and pairs of neighbours, with their frequency."""
+    w = [x for x in _LATENT_WORD.findall(text.lower()) if x not in _LATENT_STOP] if text else []
+    return Counter(w) + Counter(f"{a} {b}" for a, b in zip(w, w[1:]))
 
-    The terms are the LATENT_TERMS found in most documents; the decomposition is fitted on at most LATENT_SAMPLE rows,
-    the first by hash (a documented bound); then every row is folded in by its term weights.
-    """
-    tf = grams(rows, key, text)
-    top = tf.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.col("df").desc(), "term").limit(LATENT_TERMS)
-    names = [r["term"] for r in top.collect()]
-    if not names:
-        return rows.sparkSession.createDataFrame([], f"{key} string, embedding array<double>")
-    place = {t: i for i, t in enumerate(names)}
-    vectors = tfidf_vectors(tf.where(F.col("term").isin(names)) if len(names) <= 200 else tf.join(F.broadcast(top.select("term")), "term"))
-    sample = rows.select(F.col(key).alias("id")).distinct().orderBy(F.xxhash64("id", F.lit(seed))).limit(LATENT_SAMPLE)
-    few = vectors.join(sample, "id").toPandas()
-    m = np.zeros((few["id"].nunique(), len(names)), np.float32)
-    m[pd.factorize(few["id"])[0], [place[t] for t in few["term"]]] = few["weight"]
-    k = min(size, *m.shape)
-    rng = np.random.default_rng(seed)
-    q, _ = np.linalg.qr(m @ rng.standard_normal((m.shape[1], min(m.shape[1], k + 16))).astype(np.float32))
-    _, _, v = np.linalg.svd(q.T @ m, full_matrices=False)
-    axes = v[:k].T
+
+def latent_vocabulary(rows: DataFrame, text: str, terms: int, least_df: int, most_share: float) -> tuple[int, dict[str, tuple[int, float]]]:
+    """(texts, {term: (place, inverse document frequency)}): the most frequent terms within the document-frequency bounds."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), LATENT_BLOCK):
+                n, df = Counter(), Counter()
+                for t in pdf["t"].iloc[i : i + LATENT_BLOCK]:
+                    own = latent_terms(t)
+                    n.update(own)
+                    df.update(own.keys())
+                n[""] = df[""] = len(pdf["t"].iloc[i : i + LATENT_BLOCK])  # no term is empty: the number of texts
+                yield pd.DataFrame({"term": list(n), "n": list(n.values()), "df": [df[x] for x in n]})
+
+    texts = rows.select(F.col(text).alias("t")).where(F.length(F.trim("t")) >= 2)
+    counted = cut(texts.mapInPandas(run, "term string, n long, df long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).where((F.col("df") >= least_df) | (F.col("term") == "")))
+    total = counted.where("term = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    top = counted.where((F.col("term") != "") & (F.col("df") <= most_share * total)).orderBy(F.col("n").desc(), "term").limit(terms).collect()
+    return total, {r["term"]: (i, float(np.log((1 + total) / (1 + r["df"])) + 1)) for i, r in enumerate(sorted(top, key=lambda r: r["term"]))}
+
+
+def latent_row(text: str | None, known: dict[str, tuple[int, float]]) -> tuple[list[int], np.ndarray]:
+    """Places and TF-IDF weights of a text's known terms, scaled to length 1."""
+    at, w = [], []
+    for t, n in latent_terms(text).items():
+        x = known.get(t)
+        if x:
+            at.append(x[0])
+            w.append((1 + math.log(n)) * x[1])
+    v = np.array(w, np.float32)
+    return at, v / np.linalg.norm(v) if at else v
+
+
+def latent_blocks(rows: DataFrame, key: str, text: str, known: dict[str, tuple[int, float]]) -> DataFrame:
+    """(keys, sizes, at, w): the TF-IDF rows of all texts, a block a row; a text without a known term has size 0."""
     spark = rows.sparkSession
-    table = spark.createDataFrame([(t, [float(x) for x in axes[i]]) for t, i in place.items()], "term string, axis array<double>")
-    spread = vectors.join(F.broadcast(table), "term").select("id", F.posexplode(F.transform("axis", lambda x: x * F.col("weight"))).alias("i", "x"))
-    sums = spread.groupBy("id", "i").agg(F.sum("x").alias("x")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
-    v = F.transform("v", lambda s: s["x"])
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return sums.select(F.col("id").alias(key), F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0))).alias("embedding"))
+    shared = spark.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), LATENT_BLOCK):
+                part = pdf.iloc[i : i + LATENT_BLOCK]
+                own = [latent_row(t, shared.value) for t in part["t"]]
+                at, w = np.array([x for r, _ in own for x in r], np.uint32), np.concatenate([v for _, v in own]).astype(np.float32)
+                yield pd.DataFrame([{"keys": list(part["k"]), "sizes": np.array([len(r) for r, _ in own], np.int32).tobytes(), "at": at.tobytes(), "w": w.tobytes()}])
 
+    found = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).repartition(width(spark))
+    blocks = cut(found.mapInPandas(run, f"keys array<{found.schema['k'].dataType.simpleString()}>, sizes binary, at binary, w binary"))
+    shared.destroy()
+    return blocks
+
+
+def latent_sums(sizes: bytes, at: bytes, w: bytes, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(A q, rows, places, weights) of the rows of a block that have terms."""
+    n, at, w = np.frombuffer(sizes, np.int32), np.frombuffer(at, np.uint32), np.frombuffer(w, np.float32)
+    rows = np.flatnonzero(n)
+    y = np.add.reduceat(q[at] * w[:, None], (np.cumsum(n) - n)[rows], axis=0) if len(rows) else np.zeros((0, q.shape[1]), np.float32)
+    return y, rows, at, w
+
+
+def latent_product(sizes: bytes, at: bytes, w: bytes, q: np.ndarray, into: np.ndarray) -> None:
+    """Adds A'(A q) of a block A to ``into``."""
+    y, rows, at, w = latent_sums(sizes, at, w, q)
+    if len(rows):
+        row = np.repeat(np.arange(len(rows)), np.frombuffer(sizes, np.int32)[rows])
+        order = np.argsort(at, kind="stable")
+        term, first = np.unique(at[order], return_index=True)
+        into[term] += np.add.reduceat(y[row[order]] * w[order, None], first, axis=0)
+
+
+def latent_axes(blocks: DataFrame, terms: int, size: int, seed: int) -> np.ndarray:
+    """(terms x size): the first right singular vectors of the TF-IDF matrix of all rows, by subspace iteration.
+
+    Every pass reads the whole matrix, held in blocks, for a few directions at a time; a task adds up its
+    blocks, so what goes back is of one size a task whatever the number of rows.
+    """
+    spark = blocks.sparkSession
+    parts = spark.sparkContext.defaultParallelism
+    blocks = blocks.drop("keys").coalesce(parts)
+    shape = terms, min(terms, size + LATENT_SPARE)
+
+    def product(q: np.ndarray) -> np.ndarray:
+        """A'(A q) over all blocks."""
+        held = spark.sparkContext.broadcast(q)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            z, found = np.zeros(q_shape, np.float32), False
+            for pdf in batches:
+                for sizes, at, w in zip(pdf["sizes"], pdf["at"], pdf["w"]):
+                    latent_product(sizes, at, w, held.value, z)
+                    found = True
+            if found:
+                yield pd.DataFrame({"part": [0], "z": [z.tobytes()]})
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"part": [0], "z": [sum(np.frombuffer(x, np.float32) for x in pdf["z"]).astype(np.float32).tobytes()]})
+
+        q_shape = q.shape
+        sums = blocks.mapInPandas(run, "part int, z binary")
+        if parts > LATENT_DIRECT:
+            sums = sums.withColumn("part", F.spark_partition_id() % LATENT_DIRECT).groupBy("part").applyInPandas(add, "part int, z binary")
+        z = np.zeros(q_shape, np.float32)
+        for x in sums.select("z").toArrow()["z"]:
+            z += np.frombuffer(x.as_buffer(), np.float32).reshape(q_shape)
+        held.destroy()
+        return z
+
+    q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal(shape, np.float32))
+    for _ in range(LATENT_PASSES):
+        z = np.hstack([product(np.ascontiguousarray(q[:, i : i + LATENT_COLUMNS])) for i in range(0, shape[1], LATENT_COLUMNS)])
+        h = (q.T @ z).astype(np.float64)
+        last, (q, _) = q, np.linalg.qr(z)
+    _, u = np.linalg.eigh((h + h.T) / 2)
+    return (last @ u[:, ::-1][:, :size]).astype(np.float32)
+
+
+def lsa_vectors(rows: DataFrame, key: str, text: str, size: int = LATENT_SIZE, seed: int = 42, terms: int = LATENT_TERMS, least_df: int = 1, most_share: float = 1.0) -> DataFrame:
+    """ML10: (key, embedding): a latent vector of every row, scaled to length 1; zeros where a row has no known term.
+
+    Vocabulary and axes come from all rows: the ``terms`` most frequent words and word pairs found in at least ``least_df``
+    rows and at most ``most_share`` of them, and the first ``size`` singular vectors of their TF-IDF weights.
+    """
+    spark = rows.sparkSession
+    total, known = latent_vocabulary(rows, text, terms, least_df, most_share)
+    k = min(size, max(2, total - 1), max(2, len(known) - 1), len(known))
+    blocks = latent_blocks(rows, key, text, known)
+    axes = spark.sparkContext.broadcast(latent_axes(blocks, len(known), k, seed) if known else np.zeros((0, size), np.float32))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for keys, sizes, at, w in zip(pdf["keys"], pdf["sizes"], pdf["at"], pdf["w"]):
+                y, full, _, _ = latent_sums(sizes, at, w, axes.value)
+                v, norm = np.zeros((len(keys), axes.value.shape[1])), np.linalg.norm(y, axis=1, keepdims=True)
+                v[full] = np.divide(y, norm, out=np.zeros_like(y), where=norm > 1e-6)
+                yield pd.DataFrame({"k": list(keys), "embedding": list(v)})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return blocks.mapInPandas(run, f"k {kind}, embedding array<double>").withColumnRenamed("k", key)

@@ -649,7 +649,8 @@ def sentiment_model(spark, d):
 
 @query()
 def latent_vectors(spark, d):
-    return models.lsa_vectors(views.products(spark, d), "parent_asin", "product_search_text", 16)
+    """ML10 over every review's text, with the reference's vocabulary bounds and size."""
+    return models.lsa_vectors(views.reviews(spark, d), "review_id", "text", least_df=3, most_share=0.995)
 
 
 @query()

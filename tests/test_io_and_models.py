@@ -5,13 +5,17 @@ import hashlib
 import io
 import lzma
 import tarfile
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sedgeline.functions import spans
 from sedgeline.operators import ingest, models, taxonomy
+from sedgeline.plans import views
+from sedgeline.plans.queries import QUERIES
 from sedgeline.sources import readers, sinks
 from sedgeline.streaming import ingest as streams
 
@@ -131,6 +135,38 @@ def test_lsa(spark):
     assert dot("a", "b") > 0.9 > dot("a", "d") and dot("c", "d") > 0.9
 
 
+def test_lsa_embeds_every_row(spark):
+    df = spark.createDataFrame([("a", "broken spray pump"), ("b", "spray pump leaks"), ("c", "запах розы"), ("d", "запах свежий розы"), ("e", None), ("f", ""), ("g", "a the")], "k string, t string")
+    v = {r["k"]: r["embedding"] for r in models.lsa_vectors(df, "k", "t", 2).collect()}
+    assert set(v) == set("abcdefg") and all(v[x] == [0.0, 0.0] for x in "efg")
+    assert all(abs(sum(x * x for x in v[y]) - 1) < 1e-6 for y in "abcd") and sum(p * q for p, q in zip(v["c"], v["d"])) > 0.9
+
+
+def test_latent_vectors_recall(spark, tables):
+    """The ten nearest of every tenth review against those of the exact decomposition of all its texts."""
+    texts = views.reviews(spark, tables).select("review_id", "text").toPandas()
+    got = QUERIES["latent_vectors"](spark, tables).toPandas()
+    assert sorted(got.review_id) == sorted(texts.review_id)
+    docs = [models.latent_terms(t) for t in texts.text]
+    n, df, tf = sum(len((t or "").strip()) >= 2 for t in texts.text), Counter(t for d in docs for t in d), Counter()
+    for d in docs:
+        tf.update(d)
+    kept = sorted(sorted((t for t in df if 3 <= df[t] <= 0.995 * n), key=lambda t: (-tf[t], t))[: 30_000])
+    m = np.zeros((len(docs), len(kept)))
+    place = {t: i for i, t in enumerate(kept)}
+    for i, d in enumerate(docs):
+        for t, c in d.items():
+            if t in place:
+                m[i, place[t]] = (1 + np.log(c)) * (np.log((1 + n) / (1 + df[t])) + 1)
+    scaled = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    m = scaled(m)
+    want = scaled(m @ np.linalg.svd(m, full_matrices=False)[2][:128].T)
+    own = np.stack(got.set_index("review_id").embedding.loc[texts.review_id])
+    assert own.shape == (len(texts), 128)
+    hits = [(len(set(np.argsort(-own @ own[i], kind="stable")[:10]) & {j for j, x in enumerate(want @ want[i]) if x >= np.sort(want @ want[i])[-10] - 1e-3})) / 10 for i in range(0, len(own), 10)]
+    assert np.mean(hits) >= 0.95
+
+
 def test_taxonomy(spark):
     o = spark.createDataFrame([("r1", "p1", "Nice Scent", "t", 2.0, 1), ("r1", "p1", "nice scent!", "t", 2.0, 1), ("r2", "p2", "nice scent", None, 1.0, 2), ("r3", "p1", "Cap", "t", 1.0, 12), ("r4", "p1", "--", "t", 1.0, 3)], "review_id string, parent_asin string, label string, topic_type string, weight double, batch long")
     c = {r["candidate_key"]: r for r in taxonomy.candidates(o).collect()}
