@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedgeline.session import cut
+
 #: Common English words that carry no topic (fixed values).
 STOP = (
     "a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your"
@@ -81,6 +88,56 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int = 10, key: str =
     return vectors.select(key, F.try_divide(dot, norm * F.lit(size)).alias("score")).orderBy(F.col("score").desc_nulls_last(), key).limit(k)
 
 
+#: Vectors of a block that meets the blocks of the other side.
+VECTOR_BLOCK = 2048
+
+
+def vector_blocks(vectors: DataFrame, key: str, column: str, name: str) -> DataFrame:
+    """(name, name_keys, name_vectors): vectors scaled to length 1 in blocks; null and zero vectors have no direction and are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, number = TaskContext.get().partitionId(), 0
+        for pdf in batches:
+            for i in range(0, len(pdf), VECTOR_BLOCK):
+                own = pdf.iloc[i : i + VECTOR_BLOCK]
+                v = np.stack([np.asarray(x, np.float64) for x in own["v"]])
+                norm = np.sqrt((v * v).sum(axis=1))
+                keep = norm > 0
+                if keep.any():
+                    yield pd.DataFrame([{name: (part << 24) + number, f"{name}_keys": list(own["k"][keep]), f"{name}_vectors": (v[keep] / norm[keep, None]).tobytes()}])
+                number += 1
+
+    own = vectors.select(F.col(key).alias("k"), F.col(column).alias("v")).where("v is not null")
+    kind = own.schema["k"].dataType.simpleString()
+    return cut(own.mapInPandas(run, f"{name} long, {name}_keys array<{kind}>, {name}_vectors binary"))
+
+
+def vectors_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """ML11, TK6 for a set of queries: (query_id, key, score, place): the ``k`` vectors of greatest cosine with each.
+
+    Blocks of queries meet blocks of vectors, every pair a unit of its own that keeps the k best of each
+    query; what the product cannot tell apart is scored again one by one, so that equal vectors tie exactly.
+    """
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        qk, rk = np.asarray(r["q_keys"]), np.asarray(r["r_keys"])
+        q, v = (np.frombuffer(r[x], np.float64).reshape(len(n), -1) for x, n in (("q_vectors", qk), ("r_vectors", rk)))
+        dots, out = q @ v.T, []
+        for i in range(len(qk)):
+            at = np.flatnonzero(dots[i] >= np.partition(dots[i], -k)[-k] - 1e-9) if len(rk) > k else np.arange(len(rk))
+            score = (v[at] * q[i]).sum(axis=1)
+            best = np.lexsort((rk[at], -score))[:k]
+            out.append(pd.DataFrame({"query_id": qk[i], key: rk[at[best]], "score": score[best]}))
+        return pd.concat(out)
+
+    pairs = vector_blocks(vectors, key, column, "r").crossJoin(vector_blocks(queries, key, column, "q"))
+    few = pairs.groupBy("q", "r").applyInPandas(meet, f"query_id {kind}, {key} {kind}, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)).cast("long")
+    return few.withColumn("place", place).where(F.col("place") <= k)
+
+
 def evidence(mentions: DataFrame, reviews: DataFrame, aspect: str, negative: bool, per_product: int = 2, k: int = 10) -> DataFrame:
     """ML13, WIN13-14, PRJ17: reviews that show an aspect, by probability then votes then id.
 

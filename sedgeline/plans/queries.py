@@ -508,6 +508,15 @@ def vector_topk(spark, d):
     return search.vector_topk(e, q).select("vec_id", F.floor(F.col("score") * 1000000 + 0.5).cast("long").alias("score_micro"))
 
 
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS q FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) AS score FROM v, q),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s) SELECT query_id, vec_id, place, CAST(floor(score * 1000000 + 0.5) AS BIGINT) AS score_micro FROM o WHERE place <= 10""")
+def vector_topk_set(spark, d):
+    """The search of vector_topk with every hundredth vector as a query."""
+    e = table(spark, d, "embeddings")
+    return search.vectors_topk(e, e.where("vec_id % 100 = 0")).select("query_id", "vec_id", "place", F.floor(F.col("score") * 1000000 + 0.5).cast("long").alias("score_micro"))
+
+
 EVIDENCE = f"""WITH {REVIEWS}, {MENTIONS}, own AS (SELECT m.review_id, m.parent_asin, probability, m.helpful, md5(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS key, text FROM men m JOIN rev ON rev.review_id = m.review_id WHERE aspect_id = 'scent' AND m.rating <= 2 AND probability IS NOT NULL AND NOT isnan(probability)),
 one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY probability DESC, helpful DESC, review_id) AS a FROM own) WHERE a = 1),
 few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parent_asin ORDER BY probability DESC, helpful DESC, review_id) AS b FROM one) WHERE b <= 2)"""

@@ -228,6 +228,18 @@ def test_vector_and_lexical_search(spark):
     assert [r["id"] for r in search.similar_documents(d, "id", "text", "a").collect()] == ["b"]
 
 
+def test_vectors_topk_of_a_query_set(spark, monkeypatch):
+    monkeypatch.setattr(search, "VECTOR_BLOCK", 3)
+    own = [(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(20)] + [(20, [0.0, 0.0, 0.0]), (21, None)]
+    v = spark.createDataFrame(own, "vec_id long, embedding array<float>")
+    queries = v.where("vec_id % 4 = 0")
+    got = {}
+    for r in search.vectors_topk(v, queries, 4).orderBy("query_id", "place").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    cos = lambda x, y: sum(p * q for p, q in zip(x, y)) / (sum(p * p for p in x) * sum(q * q for q in y)) ** 0.5
+    assert got == {i: [j for _, j in sorted((round(-cos(e, x), 9), j) for j, x in own[:20])[:4]] for i, e in own[:20] if i % 4 == 0}
+
+
 def test_router_and_citations():
     triggers = {"scent": ["smell"], "hold": ["hold", "strong hold"]}
     assert search.route("Why is the strong hold bad?", triggers, ["bad"], ["good"]) == ("hold", "negative")
