@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +40,12 @@ def _ngrams(n: int) -> Column:
     return F.when(F.size("w") >= n, at).otherwise(F.array().cast("array<string>"))
 
 
-def tfidf_vectors(tf: DataFrame) -> DataFrame:
-    """ML2: (id, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), each document scaled to length 1."""
-    n = tf.agg(F.count_distinct("id").alias("n"))
+def tfidf_vectors(tf: DataFrame, documents: int | None = None) -> DataFrame:
+    """ML2: (id, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), each document scaled to length 1.
+
+    n is ``documents``, or the number of documents with a term.
+    """
+    n = tf.agg(F.count_distinct("id").alias("n") if documents is None else F.lit(documents).alias("n"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     raw = tf.join(df, "term").crossJoin(F.broadcast(n))
     raw = raw.select("id", "term", ((1 + F.log("tf")) * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1)).alias("v"))
@@ -139,7 +143,7 @@ def vectors_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str =
 
 
 def evidence(mentions: DataFrame, reviews: DataFrame, aspect: str, negative: bool, per_product: int = 2, k: int = 10) -> DataFrame:
-    """ML13, WIN13-14, PRJ17: reviews that show an aspect, by probability then votes then id.
+    """WIN13-14, PRJ17: reviews that show an aspect, by probability then votes then id; ``retrieve`` ranks them by a query (ML13).
 
     One row per review and per normalised text, at most ``per_product`` of a product; the greedy
     choice of the definition equals a rank within the product before the limit.
@@ -153,6 +157,54 @@ def evidence(mentions: DataFrame, reviews: DataFrame, aspect: str, negative: boo
     return few.orderBy(*order).limit(k).select("review_id", "parent_asin", "helpful")
 
 
+def retrieve(mentions: DataFrame, reviews: DataFrame, query: str, aspect: str | None = None, sentiment: str | None = None, products: list[str] | None = None, k: int = 8, per_product: int = 2, dense: DataFrame | None = None, terms: int = 50_000) -> DataFrame:
+    """ML13, MA3, WIN13-14: the reviews that answer a query best, at most ``per_product`` of a product.
+
+    ``mentions`` (review_id, aspect_id, sentiment, probability, evidence) are narrowed to ``aspect`` and ``sentiment``; each review
+    enters with its likeliest aspect, each normalised text once. The lexical score is the TF-IDF cosine of
+    query and review over the ``terms`` most frequent terms; ``dense`` is (review_id, dense_score). Reviews that
+    neither score finds drop out. The retrieval score is 0.80 lexical + 0.15 probability + 0.05 votes, or with
+    dense scores 0.55 lexical + 0.25 dense + 0.15 probability + 0.05 votes.
+    """
+    plain = lambda t: F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " "))
+    asked = " ".join(re.findall("[a-z0-9]+", query.lower()))
+    if len(asked) < 2:
+        raise ValueError("a query needs two letters or digits")
+    if k < 1 or per_product < 1:
+        raise ValueError("k and per_product must be positive")
+    if sentiment not in (None, "negative", "neutral", "positive"):
+        raise ValueError(f"unknown sentiment {sentiment!r}")
+    own = mentions.withColumn("probability", F.nanvl(F.col("probability").cast("double"), F.lit(None).cast("double")))
+    own = own if aspect is None else own.where(F.col("aspect_id") == aspect)
+    own = own if sentiment is None else own.where(F.col("sentiment") == sentiment)
+    likely = [F.col("probability").desc_nulls_last(), F.col("aspect_id")]
+    best = own.withColumn("rn", F.row_number().over(Window.partitionBy("review_id").orderBy(*likely))).where("rn = 1").select("review_id", "aspect_id", "sentiment", "probability", "evidence")
+    scoped = reviews if products is None else reviews.where(F.col("parent_asin").isin(products))
+    texts = best.join(scoped.select("review_id", "parent_asin", "rating", "ts", "helpful", "text"), "review_id").withColumn("plain", plain(F.col("text"))).where(F.length("plain") >= 2)
+    once = F.row_number().over(Window.partitionBy(F.md5("plain")).orderBy(*likely, "review_id"))
+    found = cut(texts.withColumn("rn", once).where("rn = 1").drop("rn"))
+    spark = found.sparkSession
+    documents = found.select(F.concat(F.lit("r"), "review_id").alias("id"), "plain").unionByName(spark.createDataFrame([("q", asked)], "id string, plain string"))
+    tf = cut(grams(documents, "id", "plain"))
+    kept = tf.groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.col("n").desc(), "term").limit(terms).select("term")
+    vectors = tfidf_vectors(tf.join(kept, "term", "left_semi"), found.count() + 1)
+    lexical = cosine_to(vectors, F.col("id") == "q").select(F.substring("id", 2, 1 << 30).alias("review_id"), F.col("score").alias("lexical_score"))
+    near = spark.createDataFrame([], "review_id string, dense_score double") if dense is None else dense.select("review_id", F.nanvl(F.col("dense_score").cast("double"), F.lit(0.0)).alias("dense_score"))
+    clip = lambda x: F.least(F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    scored = found.join(lexical, "review_id", "left").join(near, "review_id", "left").withColumns({"lexical_score": F.coalesce("lexical_score", F.lit(0.0)), "dense_score": clip(F.col("dense_score"))})
+    scored = cut(scored.where("lexical_score > 0 or dense_score > 0").withColumn("helpful", F.coalesce("helpful", F.lit(0))))
+    most = scored.agg(F.log1p(F.greatest(F.lit(1), F.max("helpful"))).alias("most"))
+    parts = [(0.80, F.col("lexical_score"))] if dense is None else [(0.55, F.col("lexical_score")), (0.25, F.col("dense_score"))]
+    parts += [(0.15, clip(F.col("probability"))), (0.05, F.log1p(F.greatest("helpful", F.lit(0))) / F.col("most"))]
+    score = sum((F.lit(w) * x for w, x in parts[1:]), F.lit(parts[0][0]) * parts[0][1])
+    order = [F.col("retrieval_score").desc(), F.col("helpful").desc(), F.col("review_id")]
+    ranked = scored.crossJoin(F.broadcast(most)).withColumn("retrieval_score", score)
+    few = ranked.withColumn("rn", F.row_number().over(Window.partitionBy("parent_asin").orderBy(*order))).where(F.col("rn") <= per_product)
+    phrases = F.transform(F.from_json("evidence", "array<struct<text:string>>"), lambda e: e["text"]).alias("evidence_phrases")
+    method = F.lit("lexical_tfidf_v1" if dense is None else "hybrid_tfidf_lsa_v1").alias("retrieval_method")
+    return few.orderBy(*order).limit(k).select("review_id", "parent_asin", "rating", "ts", "text", "aspect_id", "sentiment", "probability", phrases, "helpful", "lexical_score", "dense_score", "retrieval_score", method)
+
+
 def context_budget(ranked: DataFrame, order: list[Column], text: str, budget: int = 12_000, most: int = 8) -> DataFrame:
     """LM8: the first ranked texts whose running length keeps within the budget, numbered for citation."""
     few = ranked.orderBy(*order).limit(most)
@@ -163,8 +215,6 @@ def context_budget(ranked: DataFrame, order: list[Column], text: str, budget: in
 
 def citations(answer: str, known: set[str]) -> list[str]:
     """TX24: the ids cited in square brackets, in order; an unknown one is an error."""
-    import re
-
     found = [x.strip() for x in re.findall(r"\[([^\[\]]+)\]", answer)]
     unknown = [x for x in found if x not in known]
     if unknown:

@@ -527,6 +527,13 @@ def evidence_diverse_topk(spark, d):
     return search.evidence(views.mentions(spark, d), views.reviews(spark, d), "scent", True).withColumn("helpful", F.col("helpful").cast("long"))
 
 
+@query()
+def evidence_retrieval(spark, d):
+    """ML13: what reviews say against the scent, ranked by a query over all of them, with product title and store."""
+    found = search.retrieve(views.mentions(spark, d), views.reviews(spark, d), "the scent is too strong and smells bad", "scent", "negative", k=10)
+    return found.join(views.products(spark, d).select("parent_asin", "product_title", "store"), "parent_asin", "left")
+
+
 @query(f"""WITH {REVIEWS}, t AS (SELECT review_id, text, helpful FROM rev ORDER BY helpful DESC, review_id LIMIT 8), u AS (SELECT review_id, row_number() OVER w AS place, CAST(sum(length(text)) OVER w AS BIGINT) AS upto FROM t WINDOW w AS (ORDER BY helpful DESC, review_id))
 SELECT review_id, place, upto, '[R' || place || ']' AS citation FROM u WHERE upto <= 2000""")
 def context_budget(spark, d):

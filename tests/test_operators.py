@@ -240,6 +240,28 @@ def test_vectors_topk_of_a_query_set(spark, monkeypatch):
     assert got == {i: [j for _, j in sorted((round(-cos(e, x), 9), j) for j, x in own[:20])[:4]] for i, e in own[:20] if i % 4 == 0}
 
 
+def test_retrieve(spark):
+    texts = ["The spray pump broke immediately", "The spray nozzle broke after a week", "Broken spray trigger on arrival", "The scent was unpleasant", "broken SPRAY trigger, on arrival!"]
+    reviews = spark.createDataFrame([(f"r{i + 1}", f"p{p}", 1, None, h, t) for i, (p, h, t) in enumerate(zip([1, 1, 2, 3, 2], [3, 1, 2, 10, 9], texts))], "review_id string, parent_asin string, rating int, ts timestamp, helpful int, text string")
+    seen = spark.createDataFrame([(f"r{i + 1}", a, "negative", p, '[{"text":"spray"}]') for i, (a, p) in enumerate([("pump", 0.9), ("pump", 0.8), ("pump", 0.7), ("scent", 0.95), ("pump", 0.1)])] + [("r1", "other", "positive", 1.5, None)], "review_id string, aspect_id string, sentiment string, probability double, evidence string")
+    got = search.retrieve(seen, reviews, "Broken spray", "pump", "negative", ["p1", "p2", "p3"], 3, 1).collect()
+    assert [r["parent_asin"] for r in got] == ["p2", "p1"] and all(r["retrieval_score"] > 0 and r["aspect_id"] == "pump" for r in got)
+    assert got[0]["evidence_phrases"] == ["spray"] and got[0]["retrieval_method"] == "lexical_tfidf_v1" and got[0]["review_id"] == "r3"
+    docs = [[w for w in t.lower().split() if w not in search.STOP] for t in ("broken spray", *texts[:3])]
+    docs = [d + [f"{a} {b}" for a, b in zip(d, d[1:])] for d in docs]
+    df = {t: sum(t in d for d in docs) for d in docs for t in d}
+    vec = [{t: math.log(5 / (1 + df[t])) + 1 for t in d} for d in docs]
+    cos = [sum(vec[0].get(t, 0) * w for t, w in v.items()) / math.sqrt(sum(w * w for w in v.values()) * sum(w * w for w in vec[0].values())) for v in vec]
+    assert got[0]["retrieval_score"] == pytest.approx(0.80 * cos[3] + 0.15 * 0.7 + 0.05 * math.log(3) / math.log(4))
+    assert search.retrieve(seen, reviews, "shiny bottle").count() == 0
+    dense = spark.createDataFrame([("r4", 0.7), ("r1", 1.4)], "review_id string, dense_score double")
+    both = {r["review_id"]: r for r in search.retrieve(seen, reviews, "shiny bottle", dense=dense).collect()}
+    assert set(both) == {"r1", "r4"} and both["r4"]["retrieval_method"] == "hybrid_tfidf_lsa_v1"
+    assert both["r4"]["retrieval_score"] == pytest.approx(0.25 * 0.7 + 0.15 * 0.95 + 0.05) and (both["r1"]["dense_score"], both["r1"]["aspect_id"]) == (1.0, "other")
+    with pytest.raises(ValueError, match="query"):
+        search.retrieve(seen, reviews, " ! ")
+
+
 def test_router_and_citations():
     triggers = {"scent": ["smell"], "hold": ["hold", "strong hold"]}
     assert search.route("Why is the strong hold bad?", triggers, ["bad"], ["good"]) == ("hold", "negative")
