@@ -59,6 +59,12 @@ def cosine_to(vectors: DataFrame, is_query: Column) -> DataFrame:
     return vectors.where(~is_query).join(q, "term").groupBy("id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
 
 
+def cosines_of(vectors: DataFrame, is_query: Column) -> DataFrame:
+    """(query_id, id, score): cosine of every query with every other document that shares a term with it."""
+    q = vectors.where(is_query).select(F.col("id").alias("query_id"), "term", F.col("weight").alias("q"))
+    return vectors.join(q, "term").where("id <> query_id").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+
+
 def similar_documents(df: DataFrame, key: str, text: str, query_id, k: int = 20) -> DataFrame:
     """TK6 over ML2: the ``k`` documents nearest to one of them, by score then id."""
     scored = cosine_to(tfidf_vectors(grams(df, key, text)), F.col("id") == F.lit(query_id))

@@ -492,6 +492,17 @@ def tfidf_similarity(spark, d):
     return s.select(F.col("id").alias("parent_asin"), F.floor(F.col("score") * 1000000 + 0.5).cast("long").alias("score_micro"))
 
 
+@query(f"""WITH {PRODUCTS}, {GRAMS('prod', 'parent_asin', 'product_search_text')}, tf AS (SELECT id, term, count(*) AS tf FROM gr GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(DISTINCT id) AS n FROM tf),
+v AS (SELECT id, term, (1 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1) AS v FROM tf JOIN df USING (term), n), nor AS (SELECT id, sqrt(sum(v * v)) AS norm FROM v GROUP BY 1), x AS (SELECT id, term, v / norm AS weight FROM v JOIN nor USING (id)),
+q AS (SELECT id AS query_id, term, weight AS q FROM x WHERE md5_number_lower(id) % 100 = 0), s AS (SELECT query_id, id, sum(weight * q) AS score FROM x JOIN q USING (term) WHERE id <> query_id GROUP BY 1, 2)
+SELECT query_id, id AS parent_asin, CAST(floor(score * 1000000 + 0.5) AS BIGINT) AS score_micro FROM s""")
+def tfidf_similarity_set(spark, d):
+    """The cosines of tfidf_similarity for every product whose hash is divisible by 100."""
+    p = views.products(spark, d)
+    s = search.cosines_of(search.tfidf_vectors(search.grams(p, "parent_asin", "product_search_text")), bucket100("id") == 0)
+    return s.select("query_id", F.col("id").alias("parent_asin"), F.floor(F.col("score") * 1000000 + 0.5).cast("long").alias("score_micro"))
+
+
 @query(f"""WITH {REVIEWS}, {PRODUCTS}, src AS (SELECT rev.review_id, trim(leaf_category) AS leaf, text FROM rev JOIN prod ON prod.parent_asin = rev.parent_asin WHERE leaf_category IS NOT NULL), {GRAMS('src', 'review_id', 'text', ', leaf')},
 df AS (SELECT leaf, term, count(*) AS df FROM (SELECT DISTINCT id, leaf, term FROM gr) GROUP BY 1, 2 HAVING count(*) >= 5), t AS (SELECT leaf, count(*) AS docs FROM src GROUP BY 1),
 o AS (SELECT leaf, row_number() OVER (PARTITION BY leaf ORDER BY df DESC, term) AS place, term, df FROM df JOIN t USING (leaf) WHERE df <= 0.95 * docs) SELECT * FROM o WHERE place <= 20""")

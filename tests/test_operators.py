@@ -240,6 +240,14 @@ def test_vectors_topk_of_a_query_set(spark, monkeypatch):
     assert got == {i: [j for _, j in sorted((round(-cos(e, x), 9), j) for j, x in own[:20])[:4]] for i, e in own[:20] if i % 4 == 0}
 
 
+def test_cosines_of_a_query_set(spark):
+    d = spark.createDataFrame([("a", "broken spray pump"), ("b", "spray bottle broken"), ("c", "nice scent"), ("d", "nice pump")], "id string, text string")
+    v = search.tfidf_vectors(search.grams(d, "id", "text"))
+    got = {(r["query_id"], r["id"]): r["score"] for r in search.cosines_of(v, F.col("id").isin("a", "c")).collect()}
+    want = {(q, r["id"]): r["score"] for q in "ac" for r in search.cosine_to(v, F.col("id") == q).collect()}
+    assert set(got) == {("a", "b"), ("a", "d"), ("c", "d")} == set(want) and all(got[x] == pytest.approx(want[x]) for x in got)
+
+
 def test_retrieve(spark):
     texts = ["The spray pump broke immediately", "The spray nozzle broke after a week", "Broken spray trigger on arrival", "The scent was unpleasant", "broken SPRAY trigger, on arrival!"]
     reviews = spark.createDataFrame([(f"r{i + 1}", f"p{p}", 1, None, h, t) for i, (p, h, t) in enumerate(zip([1, 1, 2, 3, 2], [3, 1, 2, 10, 9], texts))], "review_id string, parent_asin string, rating int, ts timestamp, helpful int, text string")
