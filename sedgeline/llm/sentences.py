@@ -99,23 +99,35 @@ def outer_pairs(s: str) -> list[tuple[int, int]]:
     if not QUOTES.search(s):
         return []
     stack: list[tuple[str, int]] = []
+    opened: dict[str, list[int]] = defaultdict(list)  # by closing sign the places in the stack that it may close
     found = []
+
+    def push(ch: str, i: int) -> None:
+        for c in set(PAIRS.get(ch) or '"'):
+            opened[c].append(len(stack))
+        stack.append((ch, i))
+
+    def drop(k: int) -> None:
+        for x, _ in stack[k:]:
+            for c in set(PAIRS.get(x) or '"'):
+                opened[c].pop()
+        del stack[k:]
+
     for m in QUOTES.finditer(s):
         ch, i = m.group(), m.start()
-        del stack[:-32]  # signs opened so deep have no partner
-        k = next((k for k in range(len(stack) - 1, -1, -1) if ch in (PAIRS.get(stack[k][0]) or '"')), None)
+        k = opened[ch][-1] if opened[ch] else None
         if ch == '"':
             after = s[i + 1 : i + 2]
             if k is not None and not (after.isalnum() and (i == 0 or s[i - 1].isspace())):
                 found.append((stack[k][1], i))
-                del stack[k:]
+                drop(k)
             elif after and not after.isspace():
-                stack.append((ch, i))
+                push(ch, i)
         elif k is not None and not (ch in PAIRS and stack[k][0] != "„"):
             found.append((stack[k][1], i))
-            del stack[k:]
+            drop(k)
         elif ch in PAIRS:
-            stack.append((ch, i))
+            push(ch, i)
     found.sort()
     outer: list[tuple[int, int]] = []
     for a, b in found:
@@ -198,7 +210,9 @@ def label(lang: str | None) -> str:
 
 
 def main_script(s: str) -> str:
-    seen = Counter(script(c) for c in s[:: max(1, len(s) // 400)])
+    seen: Counter = Counter()
+    for c, n in Counter(s).items():
+        seen[script(c)] += n
     seen.pop("", None)
     return seen.most_common(1)[0][0] if seen else ""
 

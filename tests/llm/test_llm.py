@@ -320,6 +320,14 @@ def test_simhash_blocks_find_all_within_radius():
 # ---------------------------------------------------------------- P10
 
 
+def test_scripts_and_quotations_of_the_whole_text():
+    mixed = "".join("б" if i % 4 == 0 else "a" for i in range(1600))  # a fixed stride of 4 sees only one of the scripts
+    assert sentences.main_script(mixed) == sentences.script("a") != sentences.script("б")
+    deep = "(" + "[ " * 40 + "x" + ")"
+    assert sentences.outer_pairs(deep) == [(0, len(deep) - 1)]
+    assert len(sentences.outer_pairs("(" * 200_000 + "x" + ")" * 200_000)) == 1
+
+
 def test_sentences(spark, tables):
     docs = table(spark, tables, "documents").select("doc_id", "text", "lang")
     model = sentences.learn(docs.select("text", "lang"))
