@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables of this process in the checkpoint folder.
+CUTS: set[str] = set()
+
 
 def session(app: str = "sedgeline", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """A session with UTC timestamps and adaptive execution; size-dependent settings stay with the cluster."""
@@ -29,17 +36,51 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one is made only in local mode (tests), where it is unset."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="sedgeline-ckpt-")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files.
+    """Write ``df`` as a table to the shared checkpoint folder and go on from the files.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a local one is made
-    only where that setting is absent (tests), never beside it.
+    Columns are compressed there, and lineage ends. ``drop_cut`` removes a table
+    that nothing reads any more; the others go when the process ends.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sedgeline-ckpt-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    if not CUTS:
+        atexit.register(clear, spark)
+    CUTS.add(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Remove the files of a frame that ``cut`` returned; no frame that reads them may be used afterwards."""
+    if path := getattr(df, "_cut_path", None):
+        remove(df.sparkSession, path)
+        CUTS.discard(path)
+
+
+def clear(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        for path in CUTS:
+            remove(spark, path)
 
 
 def width(spark: SparkSession) -> int:
