@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sedgeline.functions.text import id_upper, split_key, strip
-from sedgeline.session import cut
+from sedgeline.session import cut, drop_cut
 
 #: Rows of split targets that may become literals of an expression.
 MOST_SPLITS = 1000
@@ -16,39 +15,44 @@ MOST_SPLITS = 1000
 def hash_to_min(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of an edge list (a, b): the component is its smallest node.
 
-    Clusters are kept as pairs (v, u), never as collected sets. In each round
-    the node v finds m, the smallest member of its cluster, sends the whole
-    cluster to m and m to every member; repeats are dropped. It ends when every
-    cluster is {m} or that of a minimum, which takes a number of rounds
-    logarithmic in the diameter in practice. A hub's pairs lie in many tasks
-    (repeats are dropped by the key (v, u), minima are combined map-side, AQE
-    splits the hub in the join). Loops and repeated edges are harmless; null
-    ends are left out. Raises if it is not stable after ``most_rounds``.
+    A cluster is kept as undirected edges (lo, hi), never as a collected set. In
+    each round the node v finds m, the smallest of itself and its
+    neighbours, and sends its whole cluster to m and m to every member: each pair (v, u)
+    becomes the edge of m with u (with v where u is m). It is stable when every
+    v is a minimum itself or knows its minimum only, which the round counts while it
+    writes; the table of the round before is removed then. The number of rounds is
+    logarithmic in the diameter in practice. A hub's pairs lie in many tasks (repeats are
+    dropped by the key (lo, hi), minima are combined map-side, AQE splits the hub in
+    the join). Loops and repeated edges are harmless; null ends are left out.
+    Raises if it is not stable after ``most_rounds``.
     """
-    e = edges.select("a", "b").where("a is not null and b is not null")
-    pairs = cut(e.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")), F.struct(F.col("a").alias("v"), F.col("a").alias("u")), F.struct(F.col("b").alias("v"), F.col("b").alias("u")))).alias("x")).select("x.*").distinct())
-    for _ in range(most_rounds):
-        least = pairs.groupBy("v").agg(F.min("u").alias("m"))
-        joined = pairs.join(least, "v")
-        sent = joined.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x")).select("x.*").distinct()
-        new = cut(sent)
-        # stable: every pair names a minimum of its own cluster on one side
-        top = new.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
-        if top.where("m <> v and n > 1").limit(1).count() == 0:
-            return top.select(F.col("v").alias("node"), F.col("m").alias("component"))
-        pairs = new
+    given = edges.select("a", "b").where("a is not null and b is not null")
+    old = cut(given.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
+    for k in range(most_rounds):
+        pairs = old.select(F.explode(F.array(F.struct(F.col("lo").alias("v"), F.col("hi").alias("u")), F.struct(F.col("hi").alias("v"), F.col("lo").alias("u")))).alias("x")).select("x.*")
+        least = pairs.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
+        seen = Observation(f"round {k}")
+        joined = pairs.join(least, "v").observe(seen, F.count_if((F.col("m") != F.col("v")) & (F.col("m") != F.col("u"))).alias("moving"))
+        new = cut(joined.select(F.col("m").alias("lo"), F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("hi")).distinct())
+        drop_cut(old)
+        if not seen.get["moving"]:
+            stars = new.select(F.explode(F.array(F.struct(F.col("hi").alias("node"), F.col("lo").alias("component")), F.struct(F.col("lo").alias("node"), F.col("lo").alias("component")))).alias("x")).select("x.*").distinct()
+            alone = given.where("a = b").select(F.col("a").alias("node")).distinct().join(stars, "node", "left_anti")
+            return stars.unionByName(alone.select("node", F.col("node").alias("component")))
+        old = new
     raise RuntimeError(f"components are not stable after {most_rounds} rounds")
 
 
 def entities(manifest: DataFrame) -> DataFrame:
-    """(review_id, parent, user, split): comparable ids with a prefix of their kind, null where they name nobody."""
-    return manifest.select(F.nullif(strip("review_id"), F.lit("")).alias("review_id"), F.concat(F.lit("p:"), id_upper("parent_asin")).alias("parent"), F.concat(F.lit("u:"), id_upper("user_id")).alias("user"), split_key("split_name").alias("split"))
-
+    """(review_id, parent, user, split, a, b): comparable ids, null where they name nobody, and the two ends of the review's edge.
 
-def entity_components(manifest: DataFrame) -> DataFrame:
-    """(node, component) of the graph in which a review joins its product and its user."""
-    e = entities(manifest).select(F.coalesce("parent", "user").alias("a"), F.coalesce("user", "parent").alias("b")).distinct()
-    return hash_to_min(e)
+    An end is the 64-bit hash of an id with its kind; a review with one id has
+    an edge to itself, one with none has null ends. Two ids of equal hash would
+    only share a split without need.
+    """
+    rows = manifest.select(F.nullif(strip("review_id"), F.lit("")).alias("review_id"), id_upper("parent_asin").alias("parent"), id_upper("user_id").alias("user"), split_key("split_name").alias("split"))
+    parent, user = (F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(c), F.col(c))) for c in ("parent", "user"))
+    return rows.withColumn("a", F.coalesce(parent, user)).withColumn("b", F.coalesce(user, parent))
 
 
 def rendezvous(component, targets: list[tuple[str, int]], salt: str):
@@ -72,11 +76,11 @@ def assign_splits(manifest: DataFrame, targets: DataFrame, salt: str = "42") ->
     kept = targets.select(split_key("split_name").alias("s"), F.col("target_permille").cast("long").alias("w")).where("s is not null and w > 0").groupBy("s").agg(F.sum("w").alias("w")).limit(MOST_SPLITS + 1).collect()
     if not 0 < len(kept) <= MOST_SPLITS:
         raise ValueError(f"{len(kept)} usable split targets; 1 to {MOST_SPLITS} are allowed")
-    nodes = entity_components(manifest)
-    rows = entities(manifest).where("review_id is not null").withColumn("node", F.coalesce("parent", "user"))
-    rows = rows.join(nodes, "node", "left").select("review_id", F.coalesce("component", F.concat(F.lit("r:"), F.col("review_id"))).alias("component"))
-    rows = rows.groupBy("review_id").agg(F.min("component").alias("component"))
-    return rows.withColumn("split_name", rendezvous(F.col("component"), [(r["s"], r["w"]) for r in kept], salt))
+    rows = cut(entities(manifest).where("review_id is not null"))
+    nodes = hash_to_min(rows)
+    named = rows.join(nodes, rows["a"] == nodes["node"], "left").select("review_id", F.coalesce("component", F.xxhash64(F.lit("review"), F.col("review_id"))).alias("component"))
+    one = named.groupBy("review_id").agg(F.min("component").alias("component"))
+    return one.withColumn("split_name", rendezvous(F.col("component"), [(r["s"], r["w"]) for r in kept], salt))
 
 
 def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
@@ -89,18 +93,15 @@ def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
 def torn(manifest: DataFrame) -> DataFrame:
     """(entity_kind, entity_id): products and users whose rows lie in more than one present split.
 
-    Components are formed first; only those whose rows name at least two
-    splits can tear an id apart, and in them the ids with two splits are
-    reported. Splits compare case, blanks and ``-``/``_`` aside; rows without
-    a split do not count.
+    Components are formed of all rows; one whose rows name a single split tears
+    nothing apart, so only the ids of the others are looked at, and those with
+    two splits are reported. Splits compare case, blanks and ``-``/``_`` aside;
+    rows without a split do not count.
     """
-    nodes = entity_components(manifest)
-    rows = entities(manifest).where("split is not null")
-    touch = rows.select(F.explode(F.array("parent", "user")).alias("node"), "split").where("node is not null").distinct()
-    touch = touch.join(nodes, "node")
-    mixed = touch.groupBy("component").agg(F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo <> hi").select("component")
-    ids = touch.join(mixed, "component", "left_semi").groupBy("node").agg(F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo <> hi")
-    kind = F.when(F.col("node").startswith("p:"), "parent_asin").otherwise("user_id")
-    return ids.select(kind.alias("entity_kind"), F.substring("node", 3, 1 << 30).alias("entity_id"))
-
-
+    rows = cut(entities(manifest).where("a is not null").select("parent", "user", "split", "a", "b").distinct())
+    nodes = hash_to_min(rows)
+    ids = rows.where("split is not null").select(F.explode(F.array(*[F.struct(F.lit(kind).alias("entity_kind"), F.col(c).alias("entity_id"), F.xxhash64(F.lit(c), F.col(c)).alias("node")) for kind, c in (("parent_asin", "parent"), ("user_id", "user"))])).alias("x"), "split").select("x.*", "split").where("entity_id is not null")
+    spans = lambda by: [F.min("lo").alias("lo"), F.max("hi").alias("hi")] if by else [F.min("split").alias("lo"), F.max("split").alias("hi")]
+    ids = cut(ids.groupBy("node", "entity_kind", "entity_id").agg(*spans(False)).join(nodes, "node"))
+    mixed = ids.groupBy("component").agg(*spans(True)).where("lo <> hi").select("component")
+    return ids.where("lo <> hi").join(mixed, "component", "left_semi").select("entity_kind", "entity_id")
