@@ -22,7 +22,24 @@ def smallest_hashes(rows: DataFrame, groups: list[str], hash_hex: str, tie: str,
     third of all rows costs one bucket's sort and no single task.
     Groups that are null match null quotas; groups without quota give no rows.
     """
-    spark = rows.sparkSession
+    near, b, drop = _bounded(rows, groups, hash_hex, quotas, quota, permille, "inner")
+    near = near.where(F.col(b) <= F.col("__edge"))
+    before = near.where(F.col(b) < F.col("__edge")).drop(*drop)
+    at = near.where((F.col(b) == F.col("__edge")) & (F.col("__rest") > 0)).withColumn("__rn", F.row_number().over(Window.partitionBy(*groups).orderBy(hash_hex, tie)))
+    return before.unionByName(at.where(F.col("__rn") <= F.col("__rest")).drop("__rn", *drop))
+
+
+def marked_hashes(rows: DataFrame, groups: list[str], hash_hex: str, tie: str, quotas: DataFrame | None = None, quota: str = "quota", permille: int = 0) -> DataFrame:
+    """Every row with ``taken``: whether ``smallest_hashes`` takes it; the rows of one bucket are ranked, the others only compared."""
+    near, b, drop = _bounded(rows, groups, hash_hex, quotas, quota, permille, "left")
+    at_edge = F.col(b).eqNullSafe(F.col("__edge"))
+    sure = near.where(~at_edge).withColumn("taken", F.coalesce(F.col(b) < F.col("__edge"), F.lit(False))).drop(*drop)
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(hash_hex, tie))
+    return sure.unionByName(near.where(at_edge).withColumn("taken", rank <= F.col("__rest")).drop(*drop))
+
+
+def _bounded(rows: DataFrame, groups: list[str], hash_hex: str, quotas: DataFrame | None, quota: str, permille: int, how: str) -> tuple[DataFrame, str, list[str]]:
+    """Rows with their bucket, the bucket in which their group's quota ends and how many of it are taken; helper columns to drop."""
     b = "__bucket"
     rows = rows.withColumn(b, F.conv(F.substring(hash_hex, 1, DIGITS), 16, 10).cast("int"))
     hist = rows.groupBy(*groups, b).agg(F.count("*").alias("__n"))
@@ -48,12 +65,8 @@ def smallest_hashes(rows: DataFrame, groups: list[str], hash_hex: str, tie: str,
     )
     bounds = maybe_broadcast(cut(bounds), 200)
     on = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)]
-    near = rows.join(bounds, on, "inner").where(F.col(b) <= F.col("__edge"))
     drop = [b, "__edge", "__rest", *[f"__g{i}" for i in range(len(groups))]]
-    before = near.where(F.col(b) < F.col("__edge")).drop(*drop)
-    w = Window.partitionBy(*groups).orderBy(hash_hex, tie)
-    at = near.where((F.col(b) == F.col("__edge")) & (F.col("__rest") > 0)).withColumn("__rn", F.row_number().over(w))
-    return before.unionByName(at.where(F.col("__rn") <= F.col("__rest")).drop("__rn", *drop))
+    return rows.join(bounds, on, how), b, drop
 
 
 def _same(a: DataFrame, b: DataFrame, cols: list[str]):
