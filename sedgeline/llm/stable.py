@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedgeline.functions.text import strip
-from sedgeline.operators.selection import smallest_hashes
+from sedgeline.operators.selection import marked_hashes
 
 
 def keyed(records: DataFrame, salt: str = "42") -> DataFrame:
@@ -27,16 +27,22 @@ def keyed(records: DataFrame, salt: str = "42") -> DataFrame:
     return one.withColumn("hash", F.md5(F.concat_ws(":", F.col("review_id"), F.lit(salt))))
 
 
-def frozen_sample(records: DataFrame, permille: int = 100, salt: str = "42") -> DataFrame:
-    """(review_id, load_batch): of each batch the ceil(permille/1000 x size) reviews with the smallest hashes.
+def frozen_batches(records: DataFrame, permille: int = 100, salt: str = "42") -> DataFrame:
+    """(review_id, load_batch, key_wrong, taken): every review once, and whether the sample takes it.
 
-    A batch is immutable once the next one arrives, so its choice never
+    Of each batch the ceil(permille/1000 x size) reviews with the smallest hashes
+    are taken. A batch is immutable once the next one arrives, so its choice never
     changes and the union over batches is append-only. Ties of the hash fall to
     the smaller review_id. An empty table gives no rows.
     """
-    return smallest_hashes(keyed(records, salt), ["load_batch"], "hash", "review_id", permille=permille).select("review_id", "load_batch")
+    return marked_hashes(keyed(records, salt), ["load_batch"], "hash", "review_id", permille=permille).select("review_id", "load_batch", "key_wrong", "taken")
+
+
+def frozen_sample(records: DataFrame, permille: int = 100, salt: str = "42") -> DataFrame:
+    """(review_id, load_batch): the reviews that ``frozen_batches`` takes."""
+    return frozen_batches(records, permille, salt).where("taken").select("review_id", "load_batch")
 
 
-def unreliable(records: DataFrame) -> DataFrame:
-    """(review_id): reviews whose given key the sample must not trust."""
-    return keyed(records).where("key_wrong").select("review_id")
+def unreliable(records: DataFrame, permille: int = 100) -> DataFrame:
+    """(review_id): reviews whose given key the sample must not trust, of those it takes and those it leaves."""
+    return frozen_batches(records, permille).where("key_wrong").select("review_id")

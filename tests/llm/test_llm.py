@@ -60,8 +60,21 @@ def test_targets_empty(spark):
     assert targets.sample(none, asked).count() == 0
 
 
+def test_record_in_two_cells_is_reported_short(spark):
+    """Five records of a category, three of which also stand in the other one, which asks for four of its own three."""
+    two = lambda i, group: ("n1", f"r{i}", None, group, None, None, None, None)
+    names = ["niche_id", "review_id", "stratum_id", "rating_group", "review_year", "length_bucket", "rating", "review_timestamp"]
+    df = spark.createDataFrame([two(i, "a") for i in range(5)] + [two(i, "b") for i in range(3)], "niche_id string, review_id string, stratum_id string, rating_group string, review_year int, length_bucket string, rating float, review_timestamp timestamp").select(*names)
+    asked = spark.createDataFrame([("n1", "rating_group", "a", 500, 0, 10), ("n1", "rating_group", "b", 400, 0, 10)], TARGETS)
+    got = {r["category"]: r for r in targets.report(df, asked).collect()}
+    assert (got["a"]["available"], got["b"]["available"]) == (5, 3)
+    assert all(r["allotted"] + r["floor_short"] + r["margin_short"] == r["demand"] for r in got.values())
+    assert sum(r["allotted"] for r in got.values()) == 5 == targets.sample(df, asked).count()
+    assert [r["category"] for r in targets.shortfalls(df, asked).collect()] == ["b"]
+
+
 def test_flow_is_least_cost():
-    cells = [("a", "x", 7), ("a", "y", 2), ("b", "z", 1)]
+    cells = [(["a"], "x", 7), (["a"], "y", 2), (["b"], "z", 1)]
     report, quotas = targets.solve("n", [("a", 6, 1, 9), ("b", 4, 3, 1)], cells, "s")
     assert [(r["category"], r["floor_short"], r["margin_short"], r["allotted"]) for r in report] == [("a", 0, 0, 6), ("b", 2, 1, 1)]
     q = {x["key"]: x["quota"] for x in quotas}

@@ -68,7 +68,7 @@ def test_flow_meets_demand_or_names_the_shortfall(categories):
     for k, (demand, floor, sizes) in enumerate(categories):
         demand = max(demand, floor)
         wants.append((f"c{k}", demand, floor, sum(sizes)))
-        cells += [(f"c{k}", f"c{k}-{i}", n) for i, n in enumerate(sizes)]
+        cells += [([f"c{k}"], f"c{k}-{i}", n) for i, n in enumerate(sizes)]
     report, quotas = targets.solve("n", wants, cells, "salt")
     size = {key: n for _, key, n in cells}
     assert all(0 <= q["quota"] <= size[q["key"]] for q in quotas)
@@ -78,3 +78,25 @@ def test_flow_meets_demand_or_names_the_shortfall(categories):
         assert r["floor_short"] == max(0, min(floor, demand) - records)
         share = [(q["quota"], min(demand, records) * size[q["key"]] / records if records else 0) for q in quotas if q["category"] == name]
         assert all(abs(q - s) < 1 + 1e-9 for q, s in share)
+
+
+@given(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 4)), min_size=1, max_size=4), st.lists(st.tuples(st.sets(st.integers(0, 3), min_size=1, max_size=3), st.integers(1, 9)), max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_records_in_several_cells_are_drawn_once(asked, held):
+    """Drawn and short add up to the demand of every category, and no cell gives more records than it has."""
+    names = [f"c{k}" for k in range(len(asked))]
+    cells = [([names[c] for c in sorted(own) if c < len(names)], f"x{i}", n) for i, (own, n) in enumerate(held)]
+    cells = [c for c in cells if c[0]]
+    wants = [(name, max(d, f), f, sum(n for own, _, n in cells if name in own)) for name, (d, f) in zip(names, asked)]
+    report, quotas = targets.solve("n", wants, cells, "salt")
+    for (_, demand, _, records), r in zip(wants, report):
+        assert r["allotted"] + r["floor_short"] + r["margin_short"] == demand
+        assert r["allotted"] <= records
+        assert records >= demand or r["floor_short"] + r["margin_short"] > 0
+    for _, key, n in cells:
+        assert sum(q["quota"] for q in quotas if q["key"] == key) <= n
+    cuts = []  # as many as can be drawn: the least cut, by all sets of categories on the side of the records
+    for k in range(1 << len(names)):
+        out = {n for i, n in enumerate(names) if k >> i & 1}
+        cuts.append(sum(w[1] for w in wants if w[0] not in out) + sum(n for own, _, n in cells if out & set(own)))
+    assert sum(r["allotted"] for r in report) == min(cuts)
