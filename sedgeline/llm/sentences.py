@@ -1,12 +1,13 @@
 """P10. Sentence boundaries by statistics learned from the corpus itself, without labels.
 
-Learning takes two passes over all documents, each combined map-side:
-
-1. By language, how often a word opens a sentence at a sure place (start of a
-   paragraph, after an end mark that no abbreviation can carry) and how often
-   it stands elsewhere. Log-likelihood ratios (Dunning) tell the sentence
-   starters and the words that never start one.
-2. By language, how often the word after "t." is a starter. A t followed by
+Learning takes one pass over all documents, combined map-side, that counts by
+language how often a word opens a sentence at a sure place (start of a paragraph, after an
+end mark that no abbreviation can carry), how often it stands elsewhere, and
+which word follows "t." for every token t.
+
+1. Log-likelihood ratios (Dunning) of the first two tell the sentence starters
+   and the words that never start one.
+2. The counts after "t." are joined with the starters. A t followed by
    starters significantly less often than real ends are is an abbreviation (also the
    class of numbers, where a language writes ordinals with a full stop), and
    the pairs "t. w" with w in lower case are its collocations.
@@ -22,22 +23,27 @@ Only words above SHARE of a language's words enter the model, so it has at most
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+from bisect import bisect_left
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgeline.session import cut, width
+from sedgeline.session import cut, maybe_broadcast, width
 
 SHARE, LEAST = 1e-5, 5
-#: Dunning's ratio at the 0.1 % level; letters of the longest token tried as an abbreviation.
-SIGNIFICANT, MOST_LETTERS = 10.83, 12
+#: Dunning's ratio at the 0.1 % level; signs that may stand between a mark and the word after it.
+SIGNIFICANT, SIGNS = 10.83, 6
+#: Words before and after a mark that tell the language there.
+BEFORE, AFTER = 12, 5
 MARKS, CLOSERS, OPENERS = ".!?…。！？؟।॥｡", ")]»”\"’」』）】›", "(["
 TAG = re.compile(r"<[^>]*>")
 EMPTY_LINE = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
@@ -46,18 +52,25 @@ MARK = re.compile(f"[{MARKS}]+")
 EMOJI = "[☀-➿⬀-⯿\U0001f000-\U0001faff][️‍♀♂☀-➿\U0001f000-\U0001faff]*"
 TAIL = re.compile(rf"(?:[{re.escape(CLOSERS)}]|\s*{EMOJI})*")
 SMILES = re.compile(rf"(?:\s*{EMOJI})+")
+LETTER = re.compile("[A-Za-z]")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 TOKEN = re.compile(r"[^\s\"“”„«»(\[「」（]+$")
 PAIRS = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "‹": "›"}
+ENDINGS = frozenset(CLOSERS)
 QUOTES = re.compile(r"[\"“”„«»「」『』()（）\[\]【】《》‹›]")
 SCRIPTS = [("th", "฀", "๿"), ("hi", "ऀ", "ॿ"), ("ar", "؀", "ۿ"), ("ru", "Ѐ", "ӿ"), ("cjk", "぀", "ヿ"), ("cjk", "㐀", "鿿")]
 #: A long word, a full stop and a letter, not within an address.
 LONG_STOP = re.compile(r"(?<![.\w])[^\W\d_]{5,}\.\s*([^\W\d_])(?!\w*[./]\w)")
-RUN = re.compile(r"\S{0,200}")
+#: What makes letters beside a full stop an initial or part of an address.
+INITIAL, ADDRESS = re.compile(r"[^\W\d_]{1,2}\."), re.compile(r"\w+\.\w+[/.]")
+#: Log share of a word that a language lacks.
+UNSEEN = -12.0
+THAI = re.compile("[\u0e00-\u0e7f]")
 THAI_BREAK = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
 NUMBER = "#"
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def script(ch: str) -> str:
     for name, a, b in SCRIPTS:
         if a <= ch <= b:
@@ -163,9 +176,10 @@ def spots(s: str) -> list[Spot]:
         if inner and inner[-1] in MARKS:
             out.append(Spot(a + len(inner), b + 1, "close", inner[-1], a))
     out.sort(key=lambda x: x.end)
+    plain = s.isascii()
     for x in out:
         e = x.end
-        while True:
+        while not (plain and s[e : e + 1] not in ENDINGS):
             m = (SMILES if e in begins else TAIL).match(s, e)
             n = m.end() if m else e
             opened = next((p for p in range(e, n) if p in begins), None)
@@ -189,15 +203,20 @@ def next_word(s: str, at: int) -> tuple[int, str, str]:
     if at >= n:
         return n, "", ""
     i = at
-    while i < n and not s[i].isalnum() and i - at < 6:
+    while i < n and not s[i].isalnum() and i - at < SIGNS:
         i += 1
     m = WORD.match(s, i)
     return at, s[at], m.group() if m else ""
 
 
 def token_before(s: str, mark: int) -> str:
-    m = TOKEN.search(s, max(0, mark - 40), mark)
-    return m.group() if m else ""
+    size = 40
+    while True:  # a longer piece is looked at only where the token fills the one before
+        begin = max(0, mark - size)
+        m = TOKEN.search(s, begin, mark)
+        if not m or m.start() > begin or not begin:
+            return m.group() if m else ""
+        size *= 4
 
 
 def kind_of(token: str) -> str:
@@ -210,6 +229,8 @@ def label(lang: str | None) -> str:
 
 
 def main_script(s: str) -> str:
+    if s.isascii():
+        return "latin" if LETTER.search(s) else ""
     seen: Counter = Counter()
     for c, n in Counter(s).items():
         seen[script(c)] += n
@@ -230,15 +251,13 @@ def lacks_capitals(s: str, blocks: list[tuple[int, int]]) -> bool:
     return low > up
 
 
-def openings(s: str, a: int, b: int) -> list[str]:
+def openings(t: str, marks: list[Spot]) -> list[str]:
     """Words at sure starts within a paragraph."""
-    t = s[a:b]
     out = []
-    m = BULLET.match(t)
-    if not m:
+    if not BULLET.match(t):
         out.append(next_word(t, 0)[2])
-    for x in spots(t):
-        if x.kind == "mark" and x.marks[-1] != "…" and x.marks != "...":
+    for x in marks:
+        if x.marks[-1] != "…" and x.marks != "...":
             at, c, w = next_word(t, x.end)
             if not w or at == x.end and script(c) != "cjk":
                 continue
@@ -266,18 +285,33 @@ class Model:
     shares: dict[str, dict[str, float]] = field(default_factory=dict)
     prior: dict[str, float] = field(default_factory=dict)
 
-    def language(self, s: str, at: int, fallback: str) -> str:
-        """The language of the words around a place, among those in Latin script."""
-        ws = [w.lower() for w in WORD.findall(s[max(0, at - 70) : at + 30])]
-        score = dict(self.prior)
-        hits = 0
-        for w in ws:
-            p = self.shares.get(w)
-            if p:
-                hits += 1
-                for k in score:
-                    score[k] += p.get(k, -12.0)
-        return max(score, key=score.get) if hits and score else fallback
+    def __post_init__(self) -> None:
+        self.names = sorted(self.prior)
+        self.base = np.array([self.prior[k] for k in self.names])
+        self.index = {w: i + 1 for i, w in enumerate(self.shares)}
+        self.rows = np.array([[0.0] * len(self.names), *([p.get(k, UNSEEN) for k in self.names] for p in self.shares.values())])
+
+
+class Languages:
+    """The languages of the marks of a text, among those in Latin script, by sums over the words around."""
+
+    def __init__(self, model: Model, s: str, marks: list[int]) -> None:
+        words, self.upto, at = [], [], 0
+        for m in marks:
+            words += WORD.findall(s, at, m)
+            self.upto.append(len(words))
+            at = m
+        words += WORD.findall(s, at)
+        get = model.index.get
+        ids = np.array([get(w.lower(), 0) for w in words], np.int64)
+        self.m, self.marks, self.n = model, marks, len(words)
+        self.known = np.concatenate([[0], np.cumsum(ids > 0)])
+        self.sums = np.concatenate([np.zeros((1, len(model.names))), np.cumsum(model.rows[ids], axis=0)])
+
+    def at(self, mark: int, fallback: str) -> str:
+        k = self.upto[bisect_left(self.marks, mark)]
+        a, b = max(0, k - BEFORE), min(self.n, k + AFTER)
+        return self.m.names[int((self.m.base + self.sums[b] - self.sums[a]).argmax())] if self.known[a] < self.known[b] else fallback
 
 
 def dunning(k1: float, n1: float, k2: float, n2: float) -> float:
@@ -292,93 +326,90 @@ def dunning(k1: float, n1: float, k2: float, n2: float) -> float:
     return 2 * (ll(k1, n1, k1 / n1) + ll(k2, n2, k2 / n2) - ll(k1, n1, p) - ll(k2, n2, p))
 
 
-def counted(documents: DataFrame, per_document, columns: list[str]) -> DataFrame:
-    """Sums of Counter entries that ``per_document(text, lang)`` gives, combined in each task and then by key."""
+class Counts:
+    """Sums by language and kind: words that open (start) and stand elsewhere (else), all words, and what follows "t."."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
-        for pdf in batches:
-            for text, lang in zip(pdf["text"], pdf["lang"]):
-                if text:
-                    total.update(per_document(text, lang))
-            if len(total) > 200_000:
-                yield frame(total)
-                total = Counter()
-        yield frame(total)
-
-    def frame(total: Counter) -> pd.DataFrame:
-        out = pd.DataFrame(list(total), columns=columns, dtype=object) if total else pd.DataFrame({c: [] for c in columns}, dtype=object)
-        out["n"] = list(total.values())
-        return out
+    def __init__(self) -> None:
+        self.by: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        self.size = 0
 
-    schema = ", ".join(f"{c} string" for c in columns) + ", n long"
-    return documents.mapInPandas(run, schema).groupBy(*columns).agg(F.sum("n").alias("n"))
+    def add(self, text: str, lang: str | None) -> None:
+        """Counts a text that has capitals or a script without them."""
+        s = blank_tags(text)
+        main = main_script(s)
+        key = key_of(label(lang), main)
+        if not key or main in ("", "th", "cjk"):
+            return
+        blocks = paragraphs(s)
+        if lacks_capitals(s, blocks):
+            return
+        cased = main in ("latin", "ru")
+        start, rest, follow = self.by[key, "start"], self.by[key, "else"], self.by[key, "follow"]
+        for a, b in blocks:
+            t = s[a:b]
+            ws, marks = WORD.findall(t), [x for x in spots(t) if x.kind == "mark"]
+            first = [w.lower() for w in openings(t, marks) if not w.isupper() or len(w) == 1]
+            start.update(first)
+            if cased:
+                rest.update([w for w in ws if w.islower()])
+            else:
+                rest.update(Counter(w.lower() for w in ws) - Counter(first))
+            self.by[key, "all"][""] += len(ws)
+            follow.update(followers(t, marks))
+            self.size += len(ws)
 
+    def frame(self) -> pd.DataFrame:
+        rows = [(key, what, *(x if what == "follow" else (x, "")), n) for (key, what), own in self.by.items() for x, n in own.items()]
+        return pd.DataFrame(rows, columns=["lang", "what", "word", "next", "n"])
 
-def first_pass(text: str, lang: str | None) -> Counter:
-    """(language, start or all or else, word) of a text that has capitals or a script without them."""
-    s = blank_tags(text)
-    main = main_script(s)
-    blocks = paragraphs(s)
-    key, out = key_of(label(lang), main), Counter()
-    if not main or not key or main in ("th", "cjk") or lacks_capitals(s, blocks):
-        return out
-    cased = main in ("latin", "ru")
-    for a, b in blocks:
-        first = [w.lower() for w in openings(s, a, b) if not w.isupper() or len(w) == 1]
-        ws = WORD.findall(s[a:b])
-        for w in first:
-            out[key, "start", w] += 1
-        rest = Counter(w for w in ws if w.islower()) if cased else Counter(w.lower() for w in ws)
-        if not cased:
-            rest -= Counter(first)
-        for w, n in rest.items():
-            out[key, "else", w] += n
-        out[key, "all", ""] += len(ws)
+
+def followers(t: str, marks: list[Spot]) -> list[tuple[str, str]]:
+    """(token, word after it) of every single full stop; the word as it is where in lower case, after ^ and in lower case where it may start a sentence, else empty."""
+    out, listed = [], bool(BULLET.match(t))
+    for x in marks:
+        if x.marks != "." or listed and x.mark < 6:
+            continue
+        token = kind_of(token_before(t, x.mark))
+        if not token:
+            continue
+        at, c, w = next_word(t, x.end)
+        if not c or at == x.end and c.isalnum():
+            continue
+        out.append((token, "" if not w or c.isdigit() else w if w[0].islower() else "^" + w.lower()))
     return out
 
 
-def second_pass(text: str, lang: str | None, starters: dict[str, set[str]]) -> Counter:
-    """(language, starter or other or pair, token, word): what follows a token with a full stop."""
-    s = blank_tags(text)
-    main = main_script(s)
-    blocks = paragraphs(s)
-    key, out = key_of(label(lang), main), Counter()
-    if not main or not key or main in ("th", "cjk") or lacks_capitals(s, blocks):
-        return out
-    own = starters.get(key, set())
-    for a, b in blocks:
-        t = s[a:b]
-        for x in spots(t):
-            if x.kind != "mark" or x.marks != ".":
-                continue
-            token = kind_of(token_before(t, x.mark))
-            if not token or len(token) > MOST_LETTERS or BULLET.match(t) and x.mark < 6:
-                continue
-            at, c, w = next_word(t, x.end)
-            if not c or (at == x.end and c.isalnum()):
-                continue
-            if w and not w[0].islower() and w.lower() in own and not c.isdigit():
-                out[key, "starter", token, ""] += 1
-            else:
-                out[key, "other", token, ""] += 1
-                if w and w[0].islower() and w in own:
-                    out[key, "pair", token, w] += 1
-    return out
+def counted(documents: DataFrame) -> DataFrame:
+    """(lang, what, word, next, n): the sums of ``Counts`` over all documents, combined in each task and then by key."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Counts()
+        for pdf in batches:
+            for text, lang in zip(pdf["text"], pdf["lang"]):
+                if text:
+                    own.add(text, lang)
+            if own.size > 2_000_000:
+                yield own.frame()
+                own = Counts()
+        yield own.frame()
+
+    return documents.mapInPandas(run, "lang string, what string, word string, next string, n long").groupBy("lang", "what", "word", "next").agg(F.sum("n").alias("n"))
 
 
 def learn(documents: DataFrame) -> Model:
     """The model of a corpus (text, lang); all documents are counted."""
-    model = Model()
-    rows = cut(counted(documents, first_pass, ["lang", "what", "word"]))
+    rows = cut(counted(documents))
     totals = {r["lang"]: r["n"] for r in rows.where("what = 'all'").collect()}
-    size = F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(float(v)))]) if totals else None
     if not totals:
-        return model
-    words = rows.where("what <> 'all'").groupBy("lang", "word").agg(F.sum(F.when(F.col("what") == "start", F.col("n")).otherwise(0)).alias("start"), F.sum(F.when(F.col("what") == "else", F.col("n")).otherwise(0)).alias("rest"))
-    kept = words.where(F.col("start") + F.col("rest") >= F.greatest(F.lit(float(LEAST)), size[F.col("lang")] * SHARE)).toPandas()
+        return Model()
+    model = Model()
+    size = F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(float(v)))])[F.col("lang")]
+    one = lambda what: F.sum(F.when(F.col("what") == what, F.col("n")).otherwise(0))
+    words = rows.where("what in ('start', 'else')").groupBy("lang", "word").agg(one("start").alias("start"), one("else").alias("rest"))
+    kept = words.where(F.col("start") + F.col("rest") >= F.greatest(F.lit(float(LEAST)), size * SHARE)).toPandas()
     whole = sum(totals.values())
-    model.prior = {k: math.log(v / whole) for k, v in totals.items() if k not in {x[0] for x in SCRIPTS}}
+    prior = {k: math.log(v / whole) for k, v in totals.items() if k not in {x[0] for x in SCRIPTS}}
+    shares: dict[str, dict[str, float]] = {}
     for lang, own in kept.groupby("lang"):
         starts, rest = own["start"].sum(), own["rest"].sum()
         for w, a, b in zip(own["word"], own["start"], own["rest"]):
@@ -388,25 +419,26 @@ def learn(documents: DataFrame) -> Model:
                 model.starters[lang].add(w)
             elif not more and ratio > SIGNIFICANT / 2 and a < 0.02 * (a + b):
                 model.never[lang].add(w)
-            if lang in model.prior:
-                model.shares.setdefault(w, {})[lang] = math.log((a + b) / totals[lang])
-    starters = dict(model.starters)
-    shared = documents.sparkSession.sparkContext.broadcast(starters)
-    follow = counted(documents, lambda t, g: second_pass(t, g, shared.value), ["lang", "what", "token", "word"])
-    follow = cut(follow)
-    by = follow.where("what <> 'pair'").groupBy("lang", "token").agg(F.sum(F.when(F.col("what") == "starter", F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("n"))
+            if lang in prior:
+                shares.setdefault(w, {})[lang] = math.log((a + b) / totals[lang])
+    starters = documents.sparkSession.createDataFrame([(k, w) for k, v in model.starters.items() for w in v], "lang string, opens string")
+    follow = rows.where("what = 'follow'").withColumn("opens", F.ltrim(F.col("next"), F.lit("^")))
+    known = follow.join(maybe_broadcast(starters.withColumn("known", F.lit(True)), 60), ["lang", "opens"], "left")
+    known = cut(known.select("lang", F.col("word").alias("token"), "next", "n", F.coalesce("known", F.lit(False)).alias("known")))
+    by = known.groupBy("lang", "token").agg(F.sum(F.when(F.col("known") & F.col("next").startswith("^"), F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("n"))
     base = {r["lang"]: (r["a"], r["n"]) for r in by.where("a > 0").groupBy("lang").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).collect()}
-    for r in by.where((F.col("n") >= 3) & (F.col("n") >= F.lit(SHARE) * size[F.col("lang")] / 10) & (F.col("a") < 0.75 * F.col("n"))).collect():
+    for r in by.where((F.col("n") >= 3) & (F.col("n") >= SHARE * size / 10) & (F.col("a") < 0.75 * F.col("n"))).collect():
         a0, n0 = base.get(r["lang"], (0, 0))
         rate = max(0.5, a0 / n0) if n0 else 0.9
         own = script(r["token"][:1])
-        fits = own in ("", r["lang"]) or own == "latin" and r["lang"] in model.prior
+        fits = own in ("", r["lang"]) or own == "latin" and r["lang"] in prior
         need = SIGNIFICANT / 2 if len(r["token"]) <= 4 else 1.5 * SIGNIFICANT  # long tokens end sentences more often than they are abbreviations
         if fits and r["a"] / r["n"] < 0.75 * rate and dunning(r["a"], r["n"], rate * 10 * r["n"], 10 * r["n"]) > need:
             model.short[r["lang"]].add(r["token"])
-    tokens = [k for v in model.short.values() for k in v]
-    model.pairs = {(r["lang"], r["token"], r["word"]) for r in follow.where("what = 'pair'").where(F.col("token").isin(tokens)).select("lang", "token", "word").collect()} if tokens else set()
-    return model
+    short = documents.sparkSession.createDataFrame([(k, t) for k, v in model.short.items() for t in v], "short_lang string, token string")
+    beside = known.where(F.col("known") & ~F.col("next").startswith("^") & (F.col("n") >= SHARE * size / 10)).join(maybe_broadcast(short.select("token").distinct(), 60), "token", "left_semi")
+    model.pairs = {(r["lang"], r["token"], r["next"]) for r in beside.select("lang", "token", "next").collect()}
+    return Model(model.starters, model.never, model.short, model.pairs, shares, prior)
 
 
 class Splitter:
@@ -420,6 +452,7 @@ class Splitter:
         s = blank_tags(text)
         blocks = paragraphs(s)
         self.main, self.lang = main_script(s), label(lang)
+        self.thai = bool(THAI.search(s))
         self.uncased = self.main in ("latin", "ru", "cjk", "hi", "ar", "th") and lacks_capitals(s, blocks)
         out: list[tuple[int, int]] = []
         for a, b in blocks:
@@ -429,9 +462,11 @@ class Splitter:
     def block(self, s: str, text: str, a: int, b: int) -> list[tuple[int, int]]:
         t = s[a:b]
         ends = []
-        begin = 0
+        begin, self.languages = 0, None
         head, last = BULLET.match(t), len(t.rstrip())
-        for x in spots(t):
+        found = spots(t)
+        self.marks = sorted({x.mark for x in found})
+        for x in found:
             if head and x.mark < head.end() and x.kind == "mark":
                 continue
             if x.end <= begin:
@@ -441,7 +476,7 @@ class Splitter:
             if self.ends(t, x, begin):
                 ends.append(x.end)
                 begin = x.end
-        if any("฀" <= c <= "๿" for c in t):
+        if self.thai and THAI.search(t):
             inside = outer_pairs(t)
             for m in THAI_BREAK.finditer(t):
                 if not any(p < m.start() < q for p, q in inside):
@@ -463,12 +498,17 @@ class Splitter:
             begin = e
         return out
 
+    def language(self, t: str, mark: int) -> str:
+        if self.languages is None:
+            self.languages = Languages(self.m, t, self.marks)
+        return self.languages.at(mark, self.lang)
+
     # the classification of one mark
     def ends(self, t: str, x: Spot, begin: int) -> bool:
         at, c, w = next_word(t, x.end)
         gap, low = at > x.end, w.lower()
         near = script(c) or script(w[:1]) or self.main
-        key = self.m.language(t, x.mark, self.lang) if near == "latin" else near
+        key = self.language(t, x.mark) if near == "latin" else near
         shout = len(w) > 1 and w.isupper() and token_before(t, x.mark).isupper()
         never = low in self.m.never.get(key, ())
         if x.kind == "close":
@@ -515,15 +555,14 @@ class Splitter:
         if not gap:
             if not c.isalpha() or not token or not token[-1].isalpha():
                 return False
-            run = RUN.match(t, x.end).group()
-            if len(re.findall(r"[^\W\d_]", own)) < 2 or left in ("hi", "ar") and near == left or re.match(r"[^\W\d_]{1,2}\.", run):
+            if len(re.findall(r"[^\W\d_]", own)) < 2 or left in ("hi", "ar") and near == left or INITIAL.match(t, x.end):
                 return False
             if "." in own or "/" in own or own in self.m.short.get(key, ()):
                 return False
             if c.isupper():
                 return token[-1].islower() or shout or self.uncased
             opens = low in self.m.starters.get(key, ()) or (self.uncased and not never)
-            return opens and not re.match(r"\w+\.\w+[/.]", run)
+            return opens and not ADDRESS.match(t, x.end)
         if c in ",;:—–":
             return False
         lang = key if script(own[:1]) in ("latin", "") else script(own[:1])
