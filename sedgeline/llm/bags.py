@@ -1,9 +1,12 @@
 """Texts as bags of words: every word counted as often as it occurs.
 
-An element of a bag is (word, k), the k-th occurrence of the word, as a 64-bit
-hash; a bag is the sorted array of its elements. Two bags have in common as
-many words, occurrences counted, as they share elements. Bags that are equal
-are kept once (``bag`` is their md5), with the texts that have them beside.
+A bag is kept as its words in order, in one text (``bow``). Bags that are equal
+are kept once (``bag`` is their md5), with the texts that have them beside. An
+element of a bag is (word, k), the k-th occurrence of the word, as a 64-bit
+hash: two bags have in common as many words, occurrences counted, as they
+share elements. For the search a bag is packed as its rarest elements, from rare to
+frequent, and its popcounts by segment; bags that are alike share at least LEAST
+of the elements that ``meetings`` looks at.
 """
 
 from __future__ import annotations
@@ -11,7 +14,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgeline.session import cut, width
+from sedgeline.session import cut, maybe_broadcast, width
 
 TAG, WORD = re.compile(r"<[^>]*>"), re.compile(r"[^\W_]+")
 #: Step between the hashes of a word's occurrences (odd, so that they never meet within a text).
@@ -30,6 +35,15 @@ MASK = (1 << 64) - 1
 CACHE = 300_000
 #: Bytes of a block, and rows that are added to it at once.
 BLOCK_BYTES, STEP_ROWS = 16 << 20, 512
+#: Texts of a block, and texts whose meetings are counted at once.
+BLOCK, AT_ONCE = 16_384, 16
+#: Rare elements that two texts must share before their popcounts are compared.
+LEAST = 5
+#: Segments of the popcounts.
+SEGMENTS = 64
+#: Places of the table of element counts (of one size whatever the data); bits of an element in a packed bag.
+BITS = 17
+BUCKETS, TERM_BITS = 1 << BITS, 24
 
 
 def words(text: str | None) -> list[str]:
@@ -54,25 +68,151 @@ def elements(tokens: list[str], known: dict[str, int]) -> np.ndarray:
 
 
 def bag_rows(texts: DataFrame, least_words: int) -> DataFrame:
-    """(id, bag, n, els) of texts (id, text) with at least ``least_words`` words; repeats of (id, bag) once."""
+    """(id, bag, n, bow) of texts (id, text) with at least ``least_words`` words; repeats stay."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
         for pdf in batches:
-            ids, keys, sizes, els = [], [], [], []
+            ids, keys, sizes, bows = [], [], [], []
             for i, text in zip(pdf["id"], pdf["text"]):
                 tokens = words(text)
                 if len(tokens) >= least_words:
-                    e = elements(tokens, known).tobytes()
+                    bow = " ".join(sorted(tokens))
                     ids.append(i)
-                    keys.append(hashlib.md5(e).digest())
+                    keys.append(hashlib.md5(bow.encode()).digest())
                     sizes.append(len(tokens))
-                    els.append(e)
+                    bows.append(bow)
             if ids:  # an empty column has no type that Arrow takes for text
-                yield pd.DataFrame({"id": ids, "bag": keys, "n": sizes, "els": els})
+                yield pd.DataFrame({"id": ids, "bag": keys, "n": sizes, "bow": bows})
 
     rows = texts.select("id", "text").where("id is not null and text is not null")
-    return rows.mapInPandas(run, "id string, bag binary, n int, els binary").dropDuplicates(["id", "bag"])
+    return rows.mapInPandas(run, "id string, bag binary, n int, bow string")
+
+
+def bags_of(rows: DataFrame) -> DataFrame:
+    """(bag, n, bow): every bag once."""
+    return rows.groupBy("bag").agg(F.first("n").alias("n"), F.first("bow").alias("bow"))
+
+
+def places(els: np.ndarray) -> np.ndarray:
+    return (els >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def place_counts(bags: DataFrame) -> np.ndarray:
+    """How many elements of all bags fall in each of BUCKETS places; elements that share one share its count, which changes their order and no result."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, known = np.zeros(BUCKETS, np.int64), {}
+        for pdf in batches:
+            for i in range(0, len(pdf), STEP_ROWS):
+                found = [places(elements(b.split(" "), known)) for b in pdf["bow"].iloc[i : i + STEP_ROWS]]
+                total += np.bincount(np.concatenate(found), minlength=BUCKETS)
+        k = np.flatnonzero(total)
+        yield pd.DataFrame({"place": k, "n": total[k]})
+
+    rows = bags.select("bow").mapInPandas(partial, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    count = np.zeros(BUCKETS, np.int64)
+    count[rows["place"]] = rows["n"]
+    return count
+
+
+def popcounts(e: np.ndarray) -> np.ndarray:
+    """Popcounts by segment; more than 255 count as 255, which lowers a distance and never raises it."""
+    return np.minimum(np.bincount((e >> np.uint64(64 - SEGMENTS.bit_length() + 1)).astype(np.int64), minlength=SEGMENTS), 255).astype(np.uint8)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Manhattan distances of the rows of ``a`` and ``b``, one by one."""
+    return (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int32)
+
+
+def rarest(e: np.ndarray, count: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` rarest elements from rare to frequent, of TERM_BITS bits (two that look equal then only meet in vain)."""
+    return (e[np.lexsort((e, count[places(e)]))][:most] >> np.uint64(64 - TERM_BITS)).astype("<u4")
+
+
+def packed(bags: DataFrame, count: np.ndarray, longest: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Blocks of bags: sizes, popcounts and the first ``longest(size)`` elements of each."""
+    shared = bags.sparkSession.sparkContext.broadcast(count.astype(np.int64))
+
+    def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for pdf in batches:
+            found = [elements(b.split(" "), known) for b in pdf["bow"]]
+            most = longest(pdf["n"].to_numpy(np.int64))
+            terms = [rarest(e, shared.value, int(k)).view(np.uint8).reshape(-1, 4)[:, :3].tobytes() for e, k in zip(found, most)]
+            yield pdf[["bag", "n"]].assign(segs=[popcounts(e).tobytes() for e in found], terms=terms)
+
+    def pack(pdf: pd.DataFrame) -> dict:
+        return {"lo": int(pdf["n"].min()), "hi": int(pdf["n"].max()), "ids": b"".join(pdf["bag"]), "sizes": pdf["n"].to_numpy(np.int32).tobytes(), "lens": (pdf["terms"].map(len) // 3).to_numpy(np.int32).tobytes(), "segs": b"".join(pdf["segs"]), "terms": b"".join(pdf["terms"])}
+
+    rows = bags.select("bag", "n", "bow").mapInPandas(embed, "bag binary, n int, segs binary, terms binary")
+    return wrap(rows, ["n", "bag"], BLOCK, pack, "lo int, hi int, ids binary, sizes binary, lens binary, segs binary, terms binary", bags.count(), "terms")
+
+
+@dataclass
+class Block:
+    """A block in arrays; ``lens`` elements of each text follow one another in ``terms``."""
+
+    n: np.ndarray
+    segs: np.ndarray
+    lens: np.ndarray
+    terms: np.ndarray
+    ids: bytes
+
+    @classmethod
+    def of(cls, r: pd.Series) -> Block:
+        n = np.frombuffer(r["sizes"], np.int32).astype(np.int64)
+        three = np.frombuffer(r["terms"], np.uint8).reshape(-1, 3)
+        terms = np.zeros((len(three), 4), np.uint8)
+        terms[:, :3] = three
+        return cls(n, np.frombuffer(r["segs"], np.uint8).reshape(len(n), SEGMENTS), np.frombuffer(r["lens"], np.int32).astype(np.int64), terms.view("<u4").ravel(), r["ids"])
+
+    def first(self, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first ``most`` elements of every text, and how many these are."""
+        at = np.arange(len(self.terms)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
+        return self.terms[at < np.repeat(most, self.lens)], np.minimum(most, self.lens)
+
+    def names(self, at: np.ndarray) -> list[bytes]:
+        return [self.ids[16 * i : 16 * i + 16] for i in at]
+
+
+def meetings(a: Block, b: Block, of_a: np.ndarray, of_b: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) whose first ``of_a[i]`` and ``of_b[j]`` elements have ``least`` in common, by inverted lists of b."""
+    terms, lens = b.first(of_b)
+    docs = np.repeat(np.arange(len(b.n)), lens)
+    order = np.argsort(terms, kind="stable")
+    terms, docs = terms[order], docs[order]
+    ask, asked = a.first(of_a)
+    start = np.searchsorted(terms, ask, "left")
+    size = np.searchsorted(terms, ask, "right") - start
+    edge, m = np.concatenate([[0], np.cumsum(asked)]), len(b.n)
+    for q in range(0, len(a.n), AT_ONCE):
+        r = min(q + AT_ONCE, len(a.n))
+        s, z = start[edge[q] : edge[r]], size[edge[q] : edge[r]]
+        total = int(z.sum())
+        if total >= least:
+            own = np.repeat(np.arange(r - q) * m, asked[q:r])
+            at = np.repeat(s - (np.cumsum(z) - z), z) + np.arange(total)
+            hit = np.flatnonzero(np.bincount(np.repeat(own, z) + docs[at], minlength=(r - q) * m) >= least)
+            if len(hit):
+                yield q + hit // m, hit % m
+
+
+def near_pairs(a: Block, b: Block, same: bool, of_a: np.ndarray, of_b: np.ndarray, least: int, similarity: float) -> pd.DataFrame:
+    """(x, y): bags that meet and whose sizes and popcounts do not rule out the similarity."""
+    ratio, xs, ys = (1 - similarity) / (1 + similarity), [], []
+    for i, j in meetings(a, b, of_a, of_b, least):
+        if same:
+            i, j = i[i < j], j[i < j]
+        n, m = a.n[i], b.n[j]
+        ok = (m >= n * similarity - 1e-9) & (n >= m * similarity - 1e-9)
+        i, j = i[ok], j[ok]
+        keep = apart(a.segs[i], b.segs[j]) <= ratio * (a.n[i] + b.n[j]) + 1e-9
+        xs.append(i[keep])
+        ys.append(j[keep])
+    if not xs:
+        return pd.DataFrame({"x": [], "y": []})
+    return pd.DataFrame({"x": a.names(np.concatenate(xs)), "y": b.names(np.concatenate(ys))})
 
 
 def wrap(rows: DataFrame, order: list[str], size: int, pack: Callable[[pd.DataFrame], dict], schema: str, count: int, heavy: str) -> DataFrame:
@@ -129,18 +269,17 @@ def meet(left: DataFrame, right: DataFrame, pairs: DataFrame, work: Callable[[pd
     return one.unionByName(two, allowMissingColumns=True).repartition(parts, "a", "b").groupBy("a", "b").applyInPandas(run, schema)
 
 
-def common(a: bytes, b: bytes) -> int:
-    """Elements that two bags share."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    return int((y[at] == x).sum()) if len(y) else 0
+def common(a: str, b: str) -> int:
+    """Words that two bags share, occurrences counted."""
+    return (Counter(a.split(" ")) & Counter(b.split(" "))).total()
 
 
 def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """(x, y, shared, nx, ny): the pairs (x, y) of bags whose intersection over union reaches ``similarity``, exactly."""
-    a = bags.select(F.col("bag").alias("x"), F.col("n").alias("nx"), F.col("els").alias("ex"))
-    b = bags.select(F.col("bag").alias("y"), F.col("n").alias("ny"), F.col("els").alias("ey"))
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("bag")).distinct()
+    used = bags.join(maybe_broadcast(cut(ends), 32), "bag", "left_semi")
+    a = used.select(F.col("bag").alias("x"), F.col("n").alias("nx"), F.col("bow").alias("ex"))
+    b = used.select(F.col("bag").alias("y"), F.col("n").alias("ny"), F.col("bow").alias("ey"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

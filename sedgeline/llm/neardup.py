@@ -1,25 +1,27 @@
 """P2. Near-duplicates with small edits: segment-popcount embedding and grid range-join.
 
 The fingerprint of a text has one bit per element of its bag of words (word
-and occurrence, so order does not count). The bits fall into SEGMENTS segments by their
+and occurrence, so order does not count). The bits fall into segments by their
 hash; a text is embedded as the number of set bits of each segment. For two
 texts the Manhattan distance of these counts is at most the Hamming distance of the
 fingerprints, that is |A| + |B| - 2|A and B|, and a similarity (intersection
 over union) of t allows a distance of at most (1-t)/(1+t) * (|A|+|B|): pairs whose
 counts lie further apart cannot be alike, and none that are alike is lost.
 
-The grid has the total popcount as its axis, with cells as wide as the range
-that similarity t allows, so that a range-join needs only a cell and the next.
-Texts of a cell are packed in blocks; a block meets the blocks of its cell and the
-next, and within them the range of every text. There the Manhattan
-distance is tested on COARSE sums first, then on all segments. Survivors are
-compared exactly. Equal bags are joined beforehand, so a group of copies of
-any size is one text here.
+The grid's first axis is the total popcount, with cells as wide as the range that
+similarity t allows, so that the range-join needs only a cell and the next; texts
+of a cell are packed in blocks that meet each other. Within two blocks the cells are fine
+segments of 24 bits, from rare to frequent: alike texts have at most |A| - o
+elements that the other lacks (o: the words they must share at these sizes), so
+they lie together in LEAST of the first |A| - o + LEAST fine segments that each of
+them occupies. Pairs that do are tested by the Manhattan distance over SEGMENTS
+segments, and the survivors exactly. Equal bags are joined beforehand, so a
+group of copies of any size is one text here.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -27,115 +29,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedgeline.functions.text import strip
-from sedgeline.llm.bags import bag_rows, length_pairs, meet, verified, wrap
+from sedgeline.llm.bags import LEAST, Block, bag_rows, bags_of, length_pairs, meet, near_pairs, packed, place_counts, verified
 from sedgeline.llm.components import hash_to_min
 from sedgeline.session import cut, width
 
-SEGMENTS, COARSE = 64, 32
-#: Texts in a block.
-BLOCK = 8_192
-#: Texts that are compared at once.
-STRIP = 2_048
-#: Pairs that wait for the test of all segments.
-WAITING = 1 << 16
-#: A class of equal bags with more members gives the pairs of its representative instead of all pairs in ``alike_pairs``.
-EXPANDED = 100
 #: Ids of a class of equal texts that meet those of another part at once.
 PART = 512
 
 
-def counts(els: bytes) -> np.ndarray:
-    """Popcounts by segment; more than 255 count as 255, which lowers a distance and never raises it."""
-    e = np.frombuffer(els, np.uint64)
-    return np.minimum(np.bincount((e >> np.uint64(64 - SEGMENTS.bit_length() + 1)).astype(np.int64), minlength=SEGMENTS), 255).astype(np.uint8)
+def first_cells(n: np.ndarray, other: float, similarity: float, least: int) -> np.ndarray:
+    """How many of its rarest elements a text of size n shows to texts of at least ``other`` words; none where no text is that large."""
+    need = np.maximum(np.ceil(similarity / (1 + similarity) * (n + other) - 1e-9), np.ceil(similarity * n - 1e-9))
+    return np.where(need > n, 0, n - need + least).astype(np.int64)
 
 
-def embedded(bags: DataFrame) -> DataFrame:
-    """(bag, n, segs): the popcounts of every bag, of one size whatever the text's."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[["bag", "n"]].assign(segs=[counts(e).tobytes() for e in pdf["els"]])
-
-    return bags.select("bag", "n", "els").mapInPandas(run, "bag binary, n int, segs binary")
-
-
-def pack(pdf: pd.DataFrame) -> dict:
-    return {"lo": int(pdf["n"].min()), "hi": int(pdf["n"].max()), "ids": b"".join(pdf["bag"]), "sizes": pdf["n"].to_numpy(np.int32).tobytes(), "segs": b"".join(pdf["segs"])}
-
-
-def unpack(r: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes, counts by segment (a row a text), and their sums in COARSE groups (a column a text), again of at most 255."""
-    n = np.frombuffer(r["sizes"], np.int32)
-    segs = np.frombuffer(r["segs"], np.uint8).reshape(len(n), SEGMENTS)
-    coarse = segs.reshape(len(n), COARSE, -1).sum(axis=2, dtype=np.uint16)
-    return n, segs, np.ascontiguousarray(np.minimum(coarse, 255).astype(np.uint8).T)
-
-
-def distances(x: np.ndarray, ys: np.ndarray, held: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Manhattan distances of ``x`` to the columns of ``ys``, in buffers that stay in the processor's cache.
-
-    The sum of COARSE rows is taken modulo 256, which can only let a far text
-    through to the next test.
-    """
-    up, down = (b[:, : ys.shape[1]] for b in held)
-    np.maximum(ys, x, out=up)
-    np.minimum(ys, x, out=down)
-    np.subtract(up, down, out=up)
-    return np.add.reduce(up, axis=0, dtype=np.uint8)
-
-
-def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Manhattan distances of the rows of ``a`` and ``b``, one by one."""
-    return (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int32)
-
-
-def block_pairs(a: pd.Series, b: pd.Series, similarity: float) -> pd.DataFrame:
-    na, sa, ca = unpack(a)
-    nb, sb, cb = unpack(b)
-    same = a["a"] == a["b"]
-    ratio = (1 - similarity) / (1 + similarity)
-    lo = np.searchsorted(nb, np.ceil(na * similarity - 1e-9), "left")
-    hi = np.searchsorted(nb, np.floor(na / similarity + 1e-9), "right")
-    held = np.empty((COARSE, STRIP), np.uint8), np.empty((COARSE, STRIP), np.uint8)
-    strips = [np.ascontiguousarray(cb[:, k : k + STRIP]) for k in range(0, len(nb), STRIP)]
-    near: list[tuple[int, np.ndarray]] = []
-    xs, ys, waiting = [], [], 0
-
-    def settle() -> None:
-        """Distances over all segments for what the coarse sums let through, many texts at once."""
-        nonlocal near, waiting
-        if near:
-            x, y = np.repeat([i for i, _ in near], [len(at) for _, at in near]), np.concatenate([at for _, at in near])
-            keep = apart(sa[x], sb[y]) <= ratio * (na[x] + nb[y]) + 1e-9
-            xs.append(x[keep])
-            ys.append(y[keep])
-        near, waiting = [], 0
-
-    for i in range(len(na)):
-        s, e = (max(lo[i], i + 1) if same else lo[i]), hi[i]
-        x = ca[:, i : i + 1]
-        for k in range(s // STRIP, -(-e // STRIP) if e > s else 0):
-            p, q = max(s, k * STRIP), min(e, (k + 1) * STRIP)
-            most = min(int(ratio * (na[i] + nb[q - 1]) + 1e-9), 255)
-            at = np.flatnonzero(distances(x, strips[k][:, p - k * STRIP : q - k * STRIP], held) <= most)
-            if len(at):
-                near.append((i, at + p))
-                waiting += len(at)
-        if waiting > WAITING:
-            settle()
-    settle()
-    if not xs:
-        return pd.DataFrame({"x": [], "y": []})
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    raw_a, raw_b = a["ids"], b["ids"]
-    return pd.DataFrame({"x": [raw_a[16 * i : 16 * i + 16] for i in x], "y": [raw_b[16 * j : 16 * j + 16] for j in y]})
+def block_pairs(x: pd.Series, y: pd.Series, similarity: float) -> pd.DataFrame:
+    a, b = Block.of(x), Block.of(y)
+    lo_a, lo_b = int(a.n.min()), int(b.n.min())
+    least = max(1, min(LEAST, math.ceil(similarity * max(lo_a, lo_b) - 1e-9)))
+    return near_pairs(a, b, x["a"] == x["b"], first_cells(a.n, lo_b, similarity, least), first_cells(b.n, lo_a, similarity, least), least, similarity)
 
 
 def links(bags: DataFrame, similarity: float) -> DataFrame:
     """(x, y, shared, nx, ny): all pairs of different bags with intersection over union of at least ``similarity``."""
-    total = bags.count()
-    blocks = wrap(embedded(bags), ["n", "bag"], BLOCK, pack, "lo int, hi int, ids binary, sizes binary, segs binary", total, "segs")
+    blocks = packed(bags, place_counts(bags), lambda n: first_cells(n, 0.0, similarity, LEAST))
     pairs = length_pairs(blocks, blocks, similarity).where(F.col("a") <= F.col("b"))
     found = meet(blocks, blocks, pairs, lambda a, b: block_pairs(a, b, similarity), "x binary, y binary")
     return verified(cut(found), bags, similarity)
@@ -149,33 +66,7 @@ def review_texts(reviews: DataFrame) -> DataFrame:
 def parts(texts: DataFrame, similarity: float, least_words: int) -> tuple[DataFrame, DataFrame]:
     """(members: id, bag; links between bags)."""
     rows = cut(bag_rows(texts, least_words))
-    bags = cut(rows.select("bag", "n", "els").dropDuplicates(["bag"]))
-    return rows.select("id", "bag"), links(bags, similarity)
-
-
-def alike_pairs(texts: DataFrame, similarity: float = 0.7, least_words: int = 20) -> DataFrame:
-    """(id_1, id_2): pairs of different ids, smaller first, whose texts are alike; a summary where classes are large.
-
-    Classes of equal bags with up to EXPANDED members enter with every member.
-    A larger class enters with its smallest id towards other texts, and within
-    itself as that id with each other member, so that no group of copies is squared;
-    the links of its other members are left out. ``all_pairs`` gives every pair. Texts with fewer than ``least_words``
-    words, null texts and ids are left out; an id with several texts is alike to another by any of them.
-    """
-    members, between = parts(texts, similarity, least_words)
-    sizes = members.groupBy("bag").agg(F.count("*").alias("size"), F.min("id").alias("first"))
-    between = cut(between.select("x", "y"))
-    shared = sizes.where("size > 1")
-    ends = between.select(F.explode(F.array("x", "y")).alias("bag")).distinct()
-    used = cut(members.join(shared.select("bag").unionByName(ends).distinct(), "bag").join(sizes, "bag"))
-    shown = used.where((F.col("size") <= EXPANDED) | (F.col("id") == F.col("first"))).select("bag", "id")
-    across = between.join(shown.select(F.col("bag").alias("x"), F.col("id").alias("p")), "x").join(shown.select(F.col("bag").alias("y"), F.col("id").alias("q")), "y").select("p", "q")
-    copies = used.where("size > 1")
-    few = copies.where(F.col("size") <= EXPANDED)
-    inner = few.select("bag", F.col("id").alias("p")).join(few.select("bag", F.col("id").alias("q")), "bag").where("p < q").select("p", "q")
-    star = copies.where(F.col("size") > EXPANDED).select(F.col("first").alias("p"), F.col("id").alias("q"))
-    both = across.unionByName(inner).unionByName(star).where("p <> q")
-    return both.select(F.least("p", "q").alias("id_1"), F.greatest("p", "q").alias("id_2")).distinct()
+    return cut(rows.select("id", "bag").distinct()), links(cut(bags_of(rows)), similarity)
 
 
 def all_pairs(texts: DataFrame, similarity: float = 0.7, least_words: int = 20) -> DataFrame:
@@ -200,15 +91,17 @@ def all_pairs(texts: DataFrame, similarity: float = 0.7, least_words: int = 20)
 
 
 def groups(texts: DataFrame, similarity: float = 0.7, least_words: int = 20) -> DataFrame:
-    """(id, class_id, links): every text with enough words once, its class and the other texts it is alike to.
+    """(id, class_id, bag, copies, links): every text with enough words once, with what it belongs to.
 
-    A class is a connected group of alike texts, named by its smallest bag
-    digest; ``links`` counts the different texts alike to this one (copies not counted).
-    An id with several texts has a row for each.
+    ``class_id`` names the connected group of alike texts, ``bag`` the class of
+    texts with the same words (reordered or equal ones), of which there are ``copies``.
+    ``links`` counts the different texts alike to this one. The pairs of ``all_pairs``
+    are those of linked bags and those within a bag. An id with several texts has a row for each.
     """
     members, between = parts(texts, similarity, least_words)
-    between = cut(between.select(F.hex("x").alias("a"), F.hex("y").alias("b")))
-    names = hash_to_min(between)
-    degree = between.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    rows = members.select("id", F.hex("bag").alias("node")).join(names, "node", "left").join(degree, "node", "left")
-    return rows.select("id", F.coalesce("component", "node").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    between = cut(between.select("x", "y"))
+    names = hash_to_min(between.select(F.xxhash64("x").alias("a"), F.xxhash64("y").alias("b")))
+    degree = between.select(F.explode(F.array("x", "y")).alias("bag")).groupBy("bag").agg(F.count("*").alias("links"))
+    sizes = members.groupBy("bag").agg(F.count("*").alias("copies")).join(degree, "bag", "left").withColumn("node", F.xxhash64("bag")).join(names, "node", "left")
+    own = sizes.select("bag", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.hex(F.coalesce("component", "node")).alias("class_id"))
+    return members.join(own, "bag").select("id", "class_id", F.hex("bag").alias("bag"), "copies", "links")

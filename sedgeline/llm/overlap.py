@@ -5,20 +5,20 @@ of weight 1, scaled to length 1. Intersection over union of t means
 |A and B| >= t/(1+t) * (|A|+|B|), so the cosine |A and B| / sqrt(|A||B|) is at least
 2t/(1+t): a cosine join with that threshold loses no pair.
 
-Elements are ordered from rare to frequent, by counts over all texts. The
-training vectors stand in inverted lists, each only with its first elements: what is left out
-must add less than CUT to any dot product, by the smaller of two bounds, the norm of
-the rest and the sum of its weights times the greatest weight that any
-evaluation vector has in that place (a table of BUCKETS hashed places, of fixed
-size). A query adds up the lists of its elements; a text whose sum and left-out bound do
-not reach the threshold is pruned, then one whose counts by segment lie too far apart (the
-bound of the near-duplicates); the others get their exact dot product.
-Equal bags are one text, so a group of copies costs one list entry.
+Elements are ordered from rare to frequent, by counts over all texts. A
+training vector stands in inverted lists with its first elements only, and an
+evaluation vector looks up its first elements only. What is left out must add so
+little, by the smaller of two bounds, that a pair with less than LEAST common first elements
+cannot reach the threshold: the norm of the rest (residual norm), and the number of left-out elements times
+their weight times the maximum weight of the vectors of the other block. Of the pairs
+that meet, those whose popcounts by segment lie too far apart are dropped (the bound of
+the near-duplicates); the others get their exact dot product. Equal bags are
+one text, so a group of copies costs one list entry.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -26,123 +26,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedgeline.functions.text import id_upper, split_key, strip
-from sedgeline.llm.bags import bag_rows, length_pairs, meet, verified, wrap
-from sedgeline.llm.neardup import SEGMENTS, apart, counts, review_texts
+from sedgeline.llm.bags import LEAST, Block, bag_rows, bags_of, length_pairs, meet, near_pairs, packed, place_counts, verified
+from sedgeline.llm.neardup import review_texts
 from sedgeline.session import cut
 
-BITS = 17
-BUCKETS = 1 << BITS
-#: What the left-out part of an indexed vector may add to a dot product.
-CUT = 0.72
-INDEXED, ASKED = 16_384, 8_192
-#: Queries whose sums are formed at once.
-AT_ONCE = 32
 
+def first_part(n: np.ndarray, other: float, similarity: float, least: int) -> np.ndarray:
+    """How many of its rarest elements a vector of n elements must show to vectors of at least ``other`` elements.
 
-def places(els: np.ndarray) -> np.ndarray:
-    return (els >> np.uint64(64 - BITS)).astype(np.int64)
+    With ``least`` - 1 common elements before it, the left-out rest of k elements
+    keeps the cosine under the threshold if its residual norm sqrt(k/n) or its sum of
+    maximum weights k / sqrt(n * other) is small enough.
+    """
+    other = np.maximum(other, n * similarity)
+    left = 2 * similarity / (1 + similarity) - 1e-9 - (least - 1) / np.sqrt(n * other)
+    by_norm, by_weight = n * np.maximum(left, 0) ** 2, np.sqrt(n * other) * left
+    rest = np.ceil(np.maximum(by_norm, by_weight)) - 1
+    return (n - np.clip(rest, 0, n)).astype(np.int64)
 
 
-def statistics(bags: DataFrame, asked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Element counts by place over all bags, and the greatest weight of an asked vector by place.
+def search(x: pd.Series, y: pd.Series, similarity: float) -> pd.DataFrame:
+    """Pairs of block a (asked) and block b (indexed) that the bounds let through."""
+    a, b = Block.of(x), Block.of(y)
+    lo_a, lo_b = int(a.n.min()), int(b.n.min())
+    least = max(1, min(LEAST, math.ceil(similarity * max(lo_a, lo_b) - 1e-9)))
+    return near_pairs(a, b, False, first_part(a.n, lo_b, similarity, least), first_part(b.n, lo_a, similarity, least), least, similarity)
 
-    Both have BUCKETS entries whatever the data; elements that share a place
-    share its count, which changes their order and no result.
-    """
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, least = np.zeros(BUCKETS, np.int64), np.full(BUCKETS, np.iinfo(np.int32).max, np.int64)
-        for pdf in batches:
-            for els, asked in zip(pdf["els"], pdf["asked"]):
-                e = np.frombuffer(els, np.uint64)
-                at = places(e)
-                np.add.at(total, at, 1)
-                if asked:
-                    least[at] = np.minimum(least[at], len(e))
-        k = np.flatnonzero(total)
-        yield pd.DataFrame({"place": k, "n": total[k], "least": least[k]})
-
-    both = bags.select("els", F.lit(False).alias("asked")).unionByName(asked.select("els", F.lit(True).alias("asked")))
-    rows = both.mapInPandas(partial, "place long, n long, least long").groupBy("place").agg(F.sum("n").alias("n"), F.min("least").alias("least")).toPandas()
-    count, weight = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
-    count[rows["place"]] = rows["n"]
-    weight[rows["place"]] = np.where(rows["least"] < np.iinfo(np.int32).max, 1 / np.sqrt(rows["least"]), 0.0)
-    return count, weight
-
-
-def first_part(e: np.ndarray, count: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """The elements of a vector to index, and the bound of what the others can add."""
-    at = places(e)
-    order = np.lexsort((e, count[at]))
-    e, w = e[order], weight[at[order]]
-    n = len(e)
-    norm = np.sqrt(np.arange(n, -1, -1) / n)
-    most = np.concatenate([np.cumsum(w[::-1])[::-1], [0.0]]) / np.sqrt(n)
-    left = np.minimum(norm, most)
-    p = int(np.argmax(left < CUT))
-    return e[:p], float(left[p])
-
-
-def search(a: pd.Series, b: pd.Series, similarity: float, threshold: float) -> pd.DataFrame:
-    """Pairs of block a (asked) and block b (indexed) that the bounds let through."""
-    nx, ny = np.frombuffer(a["sizes"], np.int32), np.frombuffer(b["sizes"], np.int32)
-    terms, lens, bound = np.frombuffer(b["terms"], np.uint64), np.frombuffer(b["lens"], np.int32), np.frombuffer(b["bounds"], np.float64)
-    docs = np.repeat(np.arange(len(ny), dtype=np.int64), lens)
-    order = np.argsort(terms, kind="stable")
-    terms, docs = terms[order], docs[order]
-    ask = np.frombuffer(a["terms"], np.uint64)
-    starts, ends = np.searchsorted(terms, ask, "left"), np.searchsorted(terms, ask, "right")
-    edge = np.concatenate([[0], np.cumsum(np.frombuffer(a["lens"], np.int32))])
-    sx, sy = (np.frombuffer(r["segs"], np.uint8).reshape(-1, SEGMENTS) for r in (a, b))
-    ratio = (1 - similarity) / (1 + similarity)
-    need, m, xs, ys = (threshold - bound - 1e-9) * np.sqrt(ny), len(ny), [], []
-    least = need.min()
-    for q in range(0, len(nx), AT_ONCE):
-        r = min(q + AT_ONCE, len(nx))
-        s, size = starts[edge[q] : edge[r]], ends[edge[q] : edge[r]] - starts[edge[q] : edge[r]]
-        total = int(size.sum())
-        if not total:
-            continue
-        own = np.repeat(np.arange(r - q), np.diff(edge[q : r + 1]))
-        at = np.repeat(s - (np.cumsum(size) - size), size) + np.arange(total)
-        sums = np.bincount(np.repeat(own, size) * m + docs[at], minlength=(r - q) * m).reshape(r - q, m)
-        # first by the least sum that any text of the block needs, then each pair by its own bound
-        i, j = np.nonzero(sums >= np.maximum(1, np.floor(least * np.sqrt(nx[q:r])))[:, None])
-        n = nx[i + q]
-        ok = (sums[i, j] >= need[j] * np.sqrt(n)) & (ny[j] >= n * similarity - 1e-9) & (ny[j] * similarity <= n + 1e-9)
-        i, j = i[ok] + q, j[ok]
-        for k in range(0, len(i), 1 << 16):  # what is left must also pass the segment counts of near-duplicates
-            p, o = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            keep = apart(sx[p], sy[o]) <= ratio * (nx[p] + ny[o]) + 1e-9
-            xs.append(p[keep])
-            ys.append(o[keep])
-    if not xs:
-        return pd.DataFrame({"x": [], "y": []})
-    p, o = a["ids"], b["ids"]
-    return pd.DataFrame({"x": [p[16 * i : 16 * i + 16] for i in np.concatenate(xs)], "y": [o[16 * j : 16 * j + 16] for j in np.concatenate(ys)]})
-
-
-def cosine_links(asked: DataFrame, indexed: DataFrame, similarity: float) -> DataFrame:
-    """(x, y, shared, nx, ny): all pairs of an asked and an indexed bag (bag, n, els) that are alike, exactly."""
-    count, weight = statistics(indexed, asked)
-    shared = asked.sparkSession.sparkContext.broadcast((count, weight))
-    schema = "lo int, hi int, ids binary, sizes binary, lens binary, terms binary, bounds binary, segs binary"
-
-    def head(pdf: pd.DataFrame) -> dict:
-        return {"lo": int(pdf["n"].min()), "hi": int(pdf["n"].max()), "ids": b"".join(pdf["bag"]), "sizes": pdf["n"].to_numpy(np.int32).tobytes(), "segs": b"".join(counts(e).tobytes() for e in pdf["els"])}
-
-    def pack_asked(pdf: pd.DataFrame) -> dict:
-        return {**head(pdf), "lens": pdf["n"].to_numpy(np.int32).tobytes(), "terms": b"".join(pdf["els"]), "bounds": b""}
-
-    def pack_indexed(pdf: pd.DataFrame) -> dict:
-        parts = [first_part(np.frombuffer(e, np.uint64), *shared.value) for e in pdf["els"]]
-        return {**head(pdf), "lens": np.array([len(p) for p, _ in parts], np.int32).tobytes(), "terms": b"".join(p.tobytes() for p, _ in parts), "bounds": np.array([x for _, x in parts], np.float64).tobytes()}
-
-    one = wrap(asked, ["n", "bag"], ASKED, pack_asked, schema, asked.count(), "els")
-    two = wrap(indexed, ["n", "bag"], INDEXED, pack_indexed, schema, indexed.count(), "els")
-    threshold = 2 * similarity / (1 + similarity)
-    found = meet(one, two, length_pairs(one, two, similarity), lambda a, b: search(a, b, similarity, threshold), "x binary, y binary")
-    both = asked.unionByName(indexed).dropDuplicates(["bag"])
+def cosine_links(asked: DataFrame, indexed: DataFrame, both: DataFrame, similarity: float) -> DataFrame:
+    """(x, y, shared, nx, ny): all pairs of an asked and an indexed bag of ``both`` (bag, n, bow) that are alike, exactly."""
+    count = place_counts(both)
+    one, two = (packed(side, count, lambda n: first_part(n, 0.0, similarity, LEAST)) for side in (asked, indexed))
+    found = meet(one, two, length_pairs(one, two, similarity), lambda a, b: search(a, b, similarity), "x binary, y binary")
     return verified(cut(found), both, similarity)
 
 
@@ -169,11 +84,13 @@ def overlaps(sentiment: DataFrame, reviews: DataFrame, similarity: float = 0.7,
     prints = other.join(train.select("print").where("print is not null").distinct(), "print", "left_semi").select("review_id").distinct()
     texts = review_texts(reviews)
     sides = rows.groupBy("review_id").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_other"))
-    bags = cut(bag_rows(texts, least_words).withColumnRenamed("id", "review_id").join(sides, "review_id"))
-    asked = cut(bags.where("in_other").select("bag", "n", "els").dropDuplicates(["bag"]))
-    indexed = cut(bags.where("in_train").select("bag", "n", "els").dropDuplicates(["bag"]))
-    hit = cosine_links(asked, indexed, similarity).select(F.col("x").alias("bag")).distinct()
-    by_text = bags.where("in_other").join(hit, "bag", "left_semi").select("review_id").distinct()
+    own = cut(bag_rows(texts, least_words).withColumnRenamed("id", "review_id"))
+    members = own.select("review_id", "bag").distinct().join(sides, "review_id")
+    flags = members.groupBy("bag").agg(F.max("in_train").alias("in_train"), F.max("in_other").alias("in_other"))
+    bags = cut(bags_of(own).join(flags, "bag"))
+    hit = cosine_links(bags.where("in_other"), bags.where("in_train"), bags, similarity).select(F.col("x").alias("bag"))
+    hit = hit.unionByName(bags.where("in_other and in_train").select("bag")).distinct()
+    by_text = members.where("in_other").join(hit, "bag", "left_semi").select("review_id").distinct()
     out = other.select("review_id", "split", "parent_asin").distinct()
     out = out.join(prints.withColumn("by_print", F.lit(True)), "review_id", "left").join(by_text.withColumn("by_text", F.lit(True)), "review_id", "left")
     return out.na.fill(False, ["by_print", "by_text"]).where("by_print or by_text")

@@ -99,23 +99,24 @@ def brute(texts):
 def test_alike_pairs_small(spark):
     texts = [("a", " ".join(BASE)), ("b", " ".join(reversed(BASE))), ("c", " ".join(BASE[:-4] + ["w", "x", "y"])), ("d", " ".join(BASE[:10] + ["q"] * 12)), ("e", " ".join(BASE[:19])), ("a", " ".join(BASE)), (None, " ".join(BASE)), ("f", None), ("g", ""), ("h", "<b>" + " ".join(BASE).upper() + "</b>"), ("i", " ".join(BASE * 500)), ("j", " ".join(BASE * 500 + ["z"]))]
     df = spark.createDataFrame(texts, "id string, text string").withColumn("bag", F.lit(1))
-    got = {tuple(r) for r in neardup.alike_pairs(df).collect()}
+    got = {tuple(r) for r in neardup.all_pairs(df).collect()}
     assert got == brute(texts) and ("a", "b") in got and ("i", "j") in got
-    assert neardup.alike_pairs(df.limit(0)).count() == 0
+    assert neardup.all_pairs(df.limit(0)).count() == 0
     classes = {r["id"]: r["class_id"] for r in neardup.groups(df).collect()}
     assert classes["a"] == classes["b"] == classes["c"] != classes["d"]
 
 
 def test_alike_pairs_on_table(spark, tables):
     df = neardup.review_texts(table(spark, tables, "error_analysis"))
-    assert {tuple(r) for r in neardup.alike_pairs(df).collect()} == brute([tuple(r) for r in df.distinct().collect()])
+    assert {tuple(r) for r in neardup.all_pairs(df).collect()} == brute([tuple(r) for r in df.distinct().collect()])
 
 
-def test_many_copies_are_a_star(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "EXPANDED", 3)
-    texts = [(f"c{i}", " ".join(BASE)) for i in range(6)] + [("z", " ".join(BASE[:-1]))]
-    got = {tuple(r) for r in neardup.alike_pairs(spark.createDataFrame(texts, "id string, text string")).collect()}
-    assert got == {("c0", f"c{i}") for i in range(1, 6)} | {("c0", "z")}
+def test_groups_name_classes_copies_and_links(spark):
+    texts = [(f"c{i}", " ".join(BASE if i % 2 else reversed(BASE))) for i in range(6)] + [("z", " ".join(BASE[:-1])), ("far", " ".join(f"w{i}" for i in range(25)))]
+    got = {r["id"]: r for r in neardup.groups(spark.createDataFrame(texts, "id string, text string")).collect()}
+    assert len({got[f"c{i}"]["bag"] for i in range(6)}) == 1 and got["c0"]["copies"] == 6 and got["c0"]["links"] == 1
+    assert (got["z"]["copies"], got["z"]["links"], got["far"]["links"]) == (1, 1, 0)
+    assert got["z"]["class_id"] == got["c0"]["class_id"] != got["far"]["class_id"]
 
 
 def test_all_pairs_at_any_class_size(spark, monkeypatch, tmp_path):
@@ -130,8 +131,8 @@ def test_all_pairs_at_any_class_size(spark, monkeypatch, tmp_path):
 def test_popcounts_bound_the_distance():
     for s, t in (("a b c d e f", "a b c x y"), ("a a a b", "a b b b c")):
         x, y = (bags.elements(bags.words(v), {}) for v in (s, t))
-        far = int(neardup.apart(neardup.counts(x.tobytes())[None], neardup.counts(y.tobytes())[None])[0])
-        assert far <= len(x) + len(y) - 2 * bags.common(x.tobytes(), y.tobytes())
+        far = int(bags.apart(bags.popcounts(x)[None], bags.popcounts(y)[None])[0])
+        assert far <= len(x) + len(y) - 2 * bags.common(" ".join(bags.words(s)), " ".join(bags.words(t)))
 
 
 def test_overlaps_on_table(spark, tables):

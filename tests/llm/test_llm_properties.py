@@ -51,14 +51,18 @@ WORDS = st.lists(st.sampled_from(list("abcdefgh")), min_size=1, max_size=60)
 def test_bags_and_bounds(a, b):
     x, y = bags.elements(a, {}), bags.elements(b, {})
     shared = (Counter(a) & Counter(b)).total()
-    assert bags.common(x.tobytes(), y.tobytes()) == shared
-    far = int(neardup.apart(neardup.counts(x.tobytes())[None], neardup.counts(y.tobytes())[None])[0])
+    assert bags.common(" ".join(a), " ".join(b)) == shared == len(set(x.tolist()) & set(y.tolist()))
+    far = int(bags.apart(bags.popcounts(x)[None], bags.popcounts(y)[None])[0])
     assert far <= len(a) + len(b) - 2 * shared
-    # what the first part of a vector leaves out adds no more than its bound
-    count, weight = np.zeros(overlap.BUCKETS, np.int64), np.full(overlap.BUCKETS, 1 / np.sqrt(len(a)))
-    first, bound = overlap.first_part(y, count, weight)
-    rest = shared - bags.common(x.tobytes(), np.sort(first).tobytes())
-    assert rest / np.sqrt(len(a) * len(b)) <= bound + 1e-9 and bound < overlap.CUT + 1e-9
+    # alike texts meet in the elements that they show, whatever the similarity, for both operators
+    count = np.zeros(bags.BUCKETS, np.int64)
+    for t in (0.5, 0.7, 0.9):
+        if shared >= t * (len(a) + len(b) - shared):
+            least = max(1, min(bags.LEAST, int(np.ceil(t * max(len(a), len(b)) - 1e-9))))
+            for first in (neardup.first_cells, overlap.first_part):
+                show = [bags.rarest(e, count, int(first(np.array([len(e)]), other, t, least)[0])) for e, other in ((x, len(b)), (y, len(a)))]
+                assert len(set(show[0].tolist()) & set(show[1].tolist())) >= least
+                assert first(np.array([len(x)]), 0.0, t, bags.LEAST)[0] >= min(len(x), len(show[0]))
 
 
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 5), st.lists(st.integers(0, 12), min_size=1, max_size=4)), min_size=1, max_size=5))
