@@ -30,15 +30,16 @@ from sedgeline.session import cut, maybe_broadcast, width
 TAG, WORD = re.compile(r"<[^>]*>"), re.compile(r"[^\W_]+")
 #: Step between the hashes of a word's occurrences (odd, so that they never meet within a text).
 STEP = 0x9E3779B97F4A7C15
-MASK = (1 << 64) - 1
 #: Words that a task remembers the hash of.
 CACHE = 300_000
 #: Bytes of a block, and rows that are added to it at once.
 BLOCK_BYTES, STEP_ROWS = 16 << 20, 512
 #: Texts of a block, and texts whose meetings are counted at once.
-BLOCK, AT_ONCE = 16_384, 16
+BLOCK, AT_ONCE = 16_384, 8
+#: Bits of a text's place in its block.
+DOC_BITS = 24
 #: Rare elements that two texts must share before their popcounts are compared.
-LEAST = 5
+LEAST = 6
 #: Segments of the popcounts.
 SEGMENTS = 64
 #: Places of the table of element counts (of one size whatever the data); bits of an element in a packed bag.
@@ -51,20 +52,20 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(TAG.sub(" ", text).lower()) if text else []
 
 
-def elements(tokens: list[str], known: dict[str, int]) -> np.ndarray:
-    seen: dict[str, int] = {}
-    out = np.empty(len(tokens), np.uint64)
-    for i, w in enumerate(tokens):
-        h = known.get(w)
-        if h is None:
-            if len(known) >= CACHE:
-                known.clear()
-            h = known[w] = xxhash.xxh3_64_intdigest(w)
-        k = seen.get(w, 0)
-        seen[w] = k + 1
-        out[i] = (h + k * STEP) & MASK
-    out.sort()
-    return out
+def elements(bows: list[list[str]], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of many bags (words in order) one after another, and how many each has."""
+    if len(known) > CACHE:
+        known.clear()
+    flat = [w for b in bows for w in b]
+    for w in set(flat).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    h = np.array([known[w] for w in flat], np.uint64)
+    lens = np.array([len(b) for b in bows], np.int64)
+    fresh = np.ones(len(h), bool)  # where another word or bag begins
+    fresh[1:] = h[1:] != h[:-1]
+    fresh[(np.cumsum(lens) - lens)[lens > 0]] = True
+    at = np.arange(len(h))
+    return h + (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(np.uint64) * np.uint64(STEP), lens
 
 
 def bag_rows(texts: DataFrame, least_words: int) -> DataFrame:
@@ -104,8 +105,8 @@ def place_counts(bags: DataFrame) -> np.ndarray:
         total, known = np.zeros(BUCKETS, np.int64), {}
         for pdf in batches:
             for i in range(0, len(pdf), STEP_ROWS):
-                found = [places(elements(b.split(" "), known)) for b in pdf["bow"].iloc[i : i + STEP_ROWS]]
-                total += np.bincount(np.concatenate(found), minlength=BUCKETS)
+                e, _ = elements([b.split(" ") for b in pdf["bow"].iloc[i : i + STEP_ROWS]], known)
+                total += np.bincount(places(e), minlength=BUCKETS)
         k = np.flatnonzero(total)
         yield pd.DataFrame({"place": k, "n": total[k]})
 
@@ -115,9 +116,10 @@ def place_counts(bags: DataFrame) -> np.ndarray:
     return count
 
 
-def popcounts(e: np.ndarray) -> np.ndarray:
-    """Popcounts by segment; more than 255 count as 255, which lowers a distance and never raises it."""
-    return np.minimum(np.bincount((e >> np.uint64(64 - SEGMENTS.bit_length() + 1)).astype(np.int64), minlength=SEGMENTS), 255).astype(np.uint8)
+def popcounts(e: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Popcounts by segment, a row a bag; more than 255 count as 255, which lowers a distance and never raises it."""
+    cell = np.repeat(np.arange(len(lens)) * SEGMENTS, lens) + (e >> np.uint64(64 - SEGMENTS.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=len(lens) * SEGMENTS), 255).astype(np.uint8).reshape(len(lens), SEGMENTS)
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,9 +127,12 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int32)
 
 
-def rarest(e: np.ndarray, count: np.ndarray, most: int) -> np.ndarray:
-    """The ``most`` rarest elements from rare to frequent, of TERM_BITS bits (two that look equal then only meet in vain)."""
-    return (e[np.lexsort((e, count[places(e)]))][:most] >> np.uint64(64 - TERM_BITS)).astype("<u4")
+def rarest(e: np.ndarray, lens: np.ndarray, count: np.ndarray, most: np.ndarray) -> list[np.ndarray]:
+    """The ``most`` rarest elements of each bag from rare to frequent, of TERM_BITS bits (two that look equal then only meet in vain)."""
+    doc = np.repeat(np.arange(len(lens)), lens)
+    terms = (e[np.lexsort((e, count[places(e)], doc))] >> np.uint64(64 - TERM_BITS)).astype("<u4")
+    begin = np.cumsum(lens) - lens
+    return [terms[b : b + min(k, n)] for b, n, k in zip(begin, lens, most)]
 
 
 def packed(bags: DataFrame, count: np.ndarray, longest: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -137,10 +142,11 @@ def packed(bags: DataFrame, count: np.ndarray, longest: Callable[[np.ndarray], n
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         for pdf in batches:
-            found = [elements(b.split(" "), known) for b in pdf["bow"]]
-            most = longest(pdf["n"].to_numpy(np.int64))
-            terms = [rarest(e, shared.value, int(k)).view(np.uint8).reshape(-1, 4)[:, :3].tobytes() for e, k in zip(found, most)]
-            yield pdf[["bag", "n"]].assign(segs=[popcounts(e).tobytes() for e in found], terms=terms)
+            for i in range(0, len(pdf), STEP_ROWS):
+                own = pdf.iloc[i : i + STEP_ROWS]
+                e, lens = elements([b.split(" ") for b in own["bow"]], known)
+                terms = rarest(e, lens, shared.value, longest(own["n"].to_numpy(np.int64)))
+                yield own[["bag", "n"]].assign(segs=[x.tobytes() for x in popcounts(e, lens)], terms=[x.view(np.uint8).reshape(-1, 4)[:, :3].tobytes() for x in terms])
 
     def pack(pdf: pd.DataFrame) -> dict:
         return {"lo": int(pdf["n"].min()), "hi": int(pdf["n"].max()), "ids": b"".join(pdf["bag"]), "sizes": pdf["n"].to_numpy(np.int32).tobytes(), "lens": (pdf["terms"].map(len) // 3).to_numpy(np.int32).tobytes(), "segs": b"".join(pdf["segs"]), "terms": b"".join(pdf["terms"])}
@@ -176,15 +182,15 @@ class Block:
         return [self.ids[16 * i : 16 * i + 16] for i in at]
 
 
-def meetings(a: Block, b: Block, of_a: np.ndarray, of_b: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) whose first ``of_a[i]`` and ``of_b[j]`` elements have ``least`` in common, by inverted lists of b."""
+def meetings(a: Block, b: Block, of_a: np.ndarray, of_b: np.ndarray, begin: np.ndarray, end: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j), begin[i] <= j < end[i], whose first ``of_a[i]`` and ``of_b[j]`` elements have ``least`` in common, by inverted lists of b."""
     terms, lens = b.first(of_b)
-    docs = np.repeat(np.arange(len(b.n)), lens)
-    order = np.argsort(terms, kind="stable")
-    terms, docs = terms[order], docs[order]
+    place = np.sort(terms.astype(np.int64) << DOC_BITS | np.repeat(np.arange(len(b.n)), lens))
+    docs = place & ((1 << DOC_BITS) - 1)
     ask, asked = a.first(of_a)
-    start = np.searchsorted(terms, ask, "left")
-    size = np.searchsorted(terms, ask, "right") - start
+    ask = ask.astype(np.int64) << DOC_BITS
+    start = np.searchsorted(place, ask | np.repeat(begin, asked), "left")
+    size = np.maximum(np.searchsorted(place, ask + np.repeat(end, asked), "left") - start, 0)
     edge, m = np.concatenate([[0], np.cumsum(asked)]), len(b.n)
     for q in range(0, len(a.n), AT_ONCE):
         r = min(q + AT_ONCE, len(a.n))
@@ -201,12 +207,10 @@ def meetings(a: Block, b: Block, of_a: np.ndarray, of_b: np.ndarray, least: int)
 def near_pairs(a: Block, b: Block, same: bool, of_a: np.ndarray, of_b: np.ndarray, least: int, similarity: float) -> pd.DataFrame:
     """(x, y): bags that meet and whose sizes and popcounts do not rule out the similarity."""
     ratio, xs, ys = (1 - similarity) / (1 + similarity), [], []
-    for i, j in meetings(a, b, of_a, of_b, least):
-        if same:
-            i, j = i[i < j], j[i < j]
-        n, m = a.n[i], b.n[j]
-        ok = (m >= n * similarity - 1e-9) & (n >= m * similarity - 1e-9)
-        i, j = i[ok], j[ok]
+    begin, end = np.searchsorted(b.n, np.ceil(a.n * similarity - 1e-9), "left"), np.searchsorted(b.n, np.floor(a.n / similarity + 1e-9), "right")
+    if same:
+        begin = np.maximum(begin, np.arange(len(a.n)) + 1)
+    for i, j in meetings(a, b, of_a, of_b, begin, end, least):
         keep = apart(a.segs[i], b.segs[j]) <= ratio * (a.n[i] + b.n[j]) + 1e-9
         xs.append(i[keep])
         ys.append(j[keep])

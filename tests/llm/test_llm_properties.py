@@ -49,10 +49,12 @@ WORDS = st.lists(st.sampled_from(list("abcdefgh")), min_size=1, max_size=60)
 @given(WORDS, WORDS)
 @settings(max_examples=300, deadline=None)
 def test_bags_and_bounds(a, b):
-    x, y = bags.elements(a, {}), bags.elements(b, {})
+    both, lens = bags.elements([sorted(a), sorted(b)], {})
+    x, y = both[: len(a)], both[len(a) :]
     shared = (Counter(a) & Counter(b)).total()
     assert bags.common(" ".join(a), " ".join(b)) == shared == len(set(x.tolist()) & set(y.tolist()))
-    far = int(bags.apart(bags.popcounts(x)[None], bags.popcounts(y)[None])[0])
+    segs = bags.popcounts(both, lens)
+    far = int(bags.apart(segs[:1], segs[1:])[0])
     assert far <= len(a) + len(b) - 2 * shared
     # alike texts meet in the elements that they show, whatever the similarity, for both operators
     count = np.zeros(bags.BUCKETS, np.int64)
@@ -60,7 +62,7 @@ def test_bags_and_bounds(a, b):
         if shared >= t * (len(a) + len(b) - shared):
             least = max(1, min(bags.LEAST, int(np.ceil(t * max(len(a), len(b)) - 1e-9))))
             for first in (neardup.first_cells, overlap.first_part):
-                show = [bags.rarest(e, count, int(first(np.array([len(e)]), other, t, least)[0])) for e, other in ((x, len(b)), (y, len(a)))]
+                show = bags.rarest(both, lens, count, np.array([first(lens[:1], len(b), t, least)[0], first(lens[1:], len(a), t, least)[0]]))
                 assert len(set(show[0].tolist()) & set(show[1].tolist())) >= least
                 assert first(np.array([len(x)]), 0.0, t, bags.LEAST)[0] >= min(len(x), len(show[0]))
 
