@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ PIECE = re.compile(r"[^.!?\n]+(?:[.!?]+|$)", re.MULTILINE)
 #: Characters of the longest context, and those taken around evidence without a sentence.
 MOST, AROUND = 1200, 300
 #: Typographic signs and their plain form (fixed values).
-PLAIN = str.maketrans({"’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-", "\u00a0": " "})
+PLAIN = {"’": "'", "‘": "'", "`": "'", "´": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "..."}
 
 
 def pieces(text: str | None) -> list[tuple[int, int]]:
@@ -57,28 +58,56 @@ def aspect_context(text: pd.Series, evidence: pd.Series) -> pd.Series:
     return pd.Series([None if t is None or e is None else context_of(t, [dict(x) if not hasattr(x, "asDict") else x.asDict() for x in e]) for t, e in zip(text, evidence)], dtype=object)
 
 
+@dataclass
+class Folded:
+    """A text in comparable form, and where each of its characters begins and ends in the original."""
+
+    text: str
+    begin: list[int]
+    end: list[int]
+
+    @classmethod
+    def of(cls, given: str) -> Folded:
+        out: list[tuple[str, int, int]] = []
+        for i, c in enumerate(given):
+            if c.isspace():
+                if out and out[-1][0] == " ":
+                    out[-1] = (" ", out[-1][1], i + 1)
+                else:
+                    out.append((" ", i, i + 1))
+            else:
+                out += [(x, i, i + 1) for x in PLAIN.get(c, c).casefold()]
+        return cls("".join(c for c, _, _ in out), [a for _, a, _ in out], [b for _, _, b in out])
+
+    def back(self, a: int, b: int) -> tuple[int, int]:
+        return self.begin[a], self.end[b - 1]
+
+
 def ground(phrase: str, text: str, least: float = 0.84) -> tuple[int, int] | None:
-    """TX20-21: where a phrase stands in a text: exactly, without quotes at its ends, white space and
-    case aside, typography aside, or (three words and more) as the window of two words more or less
-    that is most alike, from a ratio of ``least`` on. None where it does not stand."""
-    for p in (phrase, phrase.strip().strip("\"'“”‘’«»")):
-        if p and (i := text.find(p)) >= 0:
-            return i, i + len(p)
-    plain, want = text.translate(PLAIN), phrase.translate(PLAIN).strip().strip("\"'")
-    words = want.split()
-    if not words:
+    """TX20-21: where a phrase stands in a text, or None.
+
+    As it is written, else with white space, letter case and typography aside and quotes at its
+    ends left out, else (three words and more) as the run of words, up to two more or fewer,
+    whose characters are most alike, from a ratio of ``least`` on; of equal ones the shortest, then the first.
+    """
+    if phrase.strip() and (i := text.find(phrase)) >= 0:
+        return i, i + len(phrase)
+    want = Folded.of(phrase).text.strip(" \"'«»")
+    if not want:
         return None
-    m = re.search(r"\s+".join(map(re.escape, words)), plain, re.IGNORECASE)
-    if m:
-        return m.start(), m.end()
-    if len(words) < 3:
+    held = Folded.of(text)
+    if (i := held.text.find(want)) >= 0:
+        return held.back(i, i + len(want))
+    size = want.count(" ") + 1
+    if size < 3:
         return None
-    tokens = list(re.finditer(r"\S+", plain))
-    best, where = least, None
-    for size in range(max(1, len(words) - 2), len(words) + 3):
-        for i in range(len(tokens) - size + 1):
-            a, b = tokens[i].start(), tokens[i + size - 1].end()
-            ratio = difflib.SequenceMatcher(None, want.lower(), plain[a:b].lower(), autojunk=False).ratio()
-            if ratio > best or where is None and ratio >= best:
-                best, where = ratio, (a, b)
-    return where
+    words = [m.span() for m in re.finditer(r"[^ ]+", held.text)]
+    judge = difflib.SequenceMatcher(autojunk=False)
+    judge.set_seq2(want)
+    runs = []
+    for n in range(max(1, size - 2), min(len(words), size + 2) + 1):
+        for (a, _), (_, b) in zip(words, words[n - 1 :]):
+            judge.set_seq1(held.text[a:b])
+            if judge.real_quick_ratio() >= least and judge.quick_ratio() >= least and (r := judge.ratio()) >= least:
+                runs.append((-r, n, a, b))
+    return held.back(*min(runs)[2:]) if runs else None

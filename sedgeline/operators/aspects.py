@@ -146,11 +146,11 @@ def month_mart(mentions: DataFrame, reviews: DataFrame) -> DataFrame:
     mart = shares(grid.join(counted, ["month", "aspect_id"], "left").na.fill(0, zero))
     mart = mart.withColumn("review_share", F.try_divide(F.col("mentions").cast("double"), F.col("month_reviews")))
     w = Window.partitionBy("aspect_id").orderBy("month")
-    return mart.withColumn("previous_mentions", F.lag("mentions").over(w)).withColumn("mentions_change", F.col("mentions") - F.col("previous_mentions"))
+    return mart.withColumn("previous_mentions", F.lag("mentions").over(w)).withColumn("mentions_change", F.col("mentions") - F.col("previous_mentions")).withColumn("share_change", F.col("review_share") - F.lag("review_share").over(w))
 
 
 def rankings(mart: DataFrame, least_reviews: int = 10, least_mentions: int = 3, least_sentiment: int = 2, strength: int = 10) -> DataFrame:
-    """AG21, WIN7: products ranked within niche and aspect by smoothed positive and negative shares.
+    """AG21, WIN7: products ranked within niche and aspect by smoothed positive and negative shares (``_rank``) and counts (``_frequency_rank``), and each product's aspects by counts (``_reason_rank``).
 
     The prior is the share over all rows of the niche and aspect that pass the policy; ranks count
     only rows with enough mentions of the sentiment, others have none.
@@ -162,8 +162,9 @@ def rankings(mart: DataFrame, least_reviews: int = 10, least_mentions: int = 3,
         prior = F.sum(k).over(group).cast("double") / F.sum("mentions").over(group)
         out = out.withColumn(f"{k}_smoothed", (F.col(k) + F.lit(float(strength)) * prior) / (F.col("mentions") + strength))
         enough = F.col(k) >= least_sentiment
-        w = Window.partitionBy("niche", "aspect_id", enough).orderBy(F.col(f"{k}_smoothed").desc())
-        out = out.withColumn(f"{k}_rank", F.when(enough, F.rank().over(w).cast("long")))
+        place = lambda by, value: F.when(enough, F.rank().over(Window.partitionBy(*by, enough).orderBy(F.col(value).desc())).cast("long"))  # noqa: B023, E731
+        niche = ("niche", "aspect_id")
+        out = out.withColumns({f"{k}_rank": place(niche, f"{k}_smoothed"), f"{k}_frequency_rank": place(niche, k), f"{k}_reason_rank": place(("parent_asin",), k)})
     average = F.try_divide(F.col("product_rating_sum").cast("double"), F.col("product_reviews"))
     return out.withColumn("recurring_complaint", (average >= 4.0) & (F.col("negative") >= 3))
 

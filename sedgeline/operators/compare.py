@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedgeline.functions.text import title_key
 from sedgeline.operators.search import cosine_to, grams, tfidf_vectors
+from sedgeline.session import cut, numbered
 
 COUNTED = ("mentions", "needs_attention", "satisfied", "negative", "neutral", "positive")
 
@@ -71,22 +72,30 @@ def product_search(catalog: DataFrame, text: str, n: int = 20, most_terms: int =
     return hit.orderBy(exact.desc(), title.desc(), F.col("review_count").desc_nulls_last(), "parent_asin").limit(n).select("parent_asin", "product_title", F.col("review_count").cast("long").alias("review_count"))
 
 
-AGAIN = r"\b(?:will|would|definitely|going to)\b[^.!?]{0,40}\b(?:buy|purchase|order|repurchase|stock up)\b"
-NEVER = r"\b(?:not|never|no longer)\b[^.!?]{0,20}\b(?:buy|purchase|order|repurchase)\b|\bskip\b"
+#: What speaks of buying again, and of not doing so, in text in lower case.
+AGAIN = r"\b(?:would|will|definitely|certainly|probably)?\s*(?:buy|purchase|order|get)(?:\s+(?:it|this|these|the product))?\s+again\b|\b(?:repurchase|re-purchase|reorder|re-order)(?:d|ing)?\b|\bkeep(?:s|ing)?\s+(?:buying|purchasing|ordering)\b"
+NEVER = r"\b(?:not|never|won't|wouldn't|will not|would not|don't|do not)\b.{0,35}\b(?:buy|purchase|order|get|repurchase|reorder)\b"
 
 
 def repurchase(reviews: DataFrame, least: int = 3) -> DataFrame:
     """AG39, TX16: by product the reviews that speak of buying again and of not doing so, with a support flag."""
-    t = F.lower("text")
+    t = F.lower(F.coalesce("text", F.lit("")))
     again, never = t.rlike(AGAIN) & ~t.rlike(NEVER), t.rlike(NEVER)
-    out = reviews.groupBy("parent_asin").agg(F.count("*").alias("reviews"), F.count_if(again).alias("again"), F.count_if(never).alias("never"))
+    distinct = lambda x: F.count_distinct(F.when(x, F.col("review_id")))
+    out = reviews.groupBy("parent_asin").agg(F.count("*").alias("reviews"), distinct(again).alias("again"), distinct(never).alias("never"))
     return out.withColumn("again_share", F.try_divide(F.col("again").cast("double"), F.col("reviews"))).withColumn("supported", F.col("again") >= least)
 
 
+def repurchase_ranking(signals: DataFrame, n: int = 10) -> DataFrame:
+    """TK4: the ``n`` products with most reviews that speak of buying again, then the greater share, more reviews, the id."""
+    return signals.orderBy(F.col("again").desc(), F.col("again_share").desc(), F.col("reviews").desc(), "parent_asin").limit(n)
+
+
 def price_similarity(own: Column, other: Column) -> Column:
-    """MA1: 1 at equal prices, 0.01 from a factor of four on, 0.5 where one is unknown."""
-    usable = (own > 0) & (other > 0)
-    return F.when(usable, F.greatest(F.lit(0.01), 1 - F.abs(F.log(other / own)) / F.log(F.lit(4.0)))).otherwise(0.5)
+    """MA1: 1 at equal prices, 0 from a factor of four on, 0.5 where one is unknown; a price counts as a cent at least."""
+    known = own.isNotNull() & other.isNotNull() & ~F.isnan(own) & ~F.isnan(other)
+    a, b = (F.greatest(x.cast("double"), F.lit(0.01)) for x in (own, other))
+    return F.when(known, F.greatest(F.lit(0.0), 1 - F.abs(F.log(b / a)) / F.log(F.lit(4.0)))).otherwise(0.5)
 
 
 def same_brand(a: Column, b: Column) -> Column:
@@ -95,22 +104,38 @@ def same_brand(a: Column, b: Column) -> Column:
     return (a == b) & (a != "") | ((F.length(short) >= 4) & long.startswith(F.concat(short, F.lit(" "))))
 
 
-def competitors(catalog: DataFrame, own: str, k: int = 4, least_reviews: int = 1) -> DataFrame:
-    """ML12, MA2, WIN15: other products of the own category by 0.65 text, 0.15 price and 0.20 support.
+def concepts_of(title: Column, concepts: dict[str, list[str]]) -> Column:
+    """AR3: the sorted names of the concepts of which a normal title (``title_key``) holds a phrase as whole words."""
+    padded = F.concat(F.lit(" "), title, F.lit(" "))
+    hit = lambda phrases: F.array_contains(F.transform(F.array(*[F.lit(f" {p} ") for p in phrases]), lambda p: padded.contains(p)), True)
+    return F.array_compact(F.array(*[F.when(hit(v), F.lit(k)) for k, v in sorted(concepts.items())])) if concepts else F.array().cast("array<string>")
+
+
+#: Weights of text, concepts, price and support.
+WEIGHTS = (0.45, 0.30, 0.10, 0.15)
 
-    Other brands only; each brand's best product comes before any brand's second. The text part is the
-    TF-IDF cosine over the category's search texts.
+
+def competitors(catalog: DataFrame, own: str, concepts: dict[str, list[str]] | None = None, k: int = 4, least_reviews: int = 1) -> DataFrame:
+    """ML12, MA2, WIN15: all rivals of the own category path with rank, ``selected`` and the parts of their score.
+
+    Rivals are of another brand and have ``least_reviews``. The text part is the TF-IDF cosine of the titles of the own
+    product and its rivals, the concept part the share of the own title's concepts. Ties go to more reviews, then the id. The ``k`` selected
+    are the best of each brand (products without one stand for themselves), filled up by rank.
     """
-    me = catalog.where(F.col("parent_asin") == own).select(F.col("category_path_id").alias("cat"), title_key("store").alias("brand0"), F.col("price_at_collection").alias("price0")).limit(1)
-    pool = catalog.join(F.broadcast(me), F.col("category_path_id") == F.col("cat")).withColumn("brand", title_key("store"))
-    vectors = tfidf_vectors(grams(pool, "parent_asin", "product_search_text"))
-    text = cosine_to(vectors, F.col("id") == own).select(F.col("id").alias("parent_asin"), F.col("score").alias("text_similarity"))
-    rivals = pool.where((F.col("parent_asin") != own) & (F.coalesce("review_count", F.lit(0)) >= least_reviews) & ~same_brand(F.col("brand"), F.col("brand0")))
-    most = F.max(F.log1p("review_count")).over(Window.partitionBy())
-    scored = rivals.join(text, "parent_asin", "left").withColumn("text_similarity", F.coalesce("text_similarity", F.lit(0.0))).withColumn("price_similarity", price_similarity(F.col("price0"), F.col("price_at_collection"))).withColumn("support", F.coalesce(F.try_divide(F.log1p("review_count"), most), F.lit(0.0)))
-    score = 0.65 * F.col("text_similarity") + 0.15 * F.col("price_similarity") + 0.20 * F.col("support")
-    scored = scored.withColumn("score", score)
-    w = Window.partitionBy("brand").orderBy(F.col("score").desc(), "parent_asin")
-    repeat = (F.col("brand") != "") & (F.row_number().over(w) > 1)
-    ranked = scored.withColumn("repeat", repeat).orderBy(F.col("repeat"), F.col("score").desc(), "parent_asin").limit(k)
-    return ranked.select("parent_asin", "store", "text_similarity", "price_similarity", "support", "score")
+    titled = catalog.select("parent_asin", "category_path_id", "store", "product_title", F.col("price_at_collection").alias("price"), F.coalesce("review_count", F.lit(0)).cast("long").alias("review_count"), title_key("product_title").alias("title"), title_key("store").alias("brand"))
+    me = titled.where(F.col("parent_asin") == own).select(F.col("category_path_id").alias("cat"), F.col("brand").alias("brand0"), F.col("price").alias("price0"), concepts_of(F.col("title"), concepts or {}).alias("concepts0")).limit(1)
+    pool = titled.join(F.broadcast(me), F.col("category_path_id") == F.col("cat"))
+    is_own = F.col("parent_asin") == own
+    pool = cut(pool.where(is_own | ((F.col("review_count") >= least_reviews) & ~same_brand(F.col("brand"), F.col("brand0")))))
+    text = cosine_to(tfidf_vectors(grams(pool, "parent_asin", "title")), F.col("id") == own).select(F.col("id").alias("parent_asin"), F.col("score").alias("text_similarity"))
+    rivals = pool.where(~is_own)
+    most = rivals.agg(F.max(F.log1p("review_count")).alias("most"))
+    scored = rivals.crossJoin(F.broadcast(most)).join(text, "parent_asin", "left").withColumn("matched_concepts", F.array_intersect(concepts_of(F.col("title"), concepts or {}), "concepts0"))
+    parts = [F.coalesce("text_similarity", F.lit(0.0)), F.size("matched_concepts").cast("double") / F.greatest(F.lit(1), F.size("concepts0")), price_similarity(F.col("price0"), F.col("price")), F.coalesce(F.try_divide(F.log1p("review_count"), F.col("most")), F.lit(0.0))]
+    names = ("text_similarity", "concept_similarity", "price_similarity", "support")
+    scored = scored.withColumns(dict(zip(names, parts))).withColumn("score", sum((w * F.col(n) for w, n in zip(WEIGHTS[1:], names[1:])), WEIGHTS[0] * F.col(names[0])))
+    ranked = numbered(scored, [F.col("score").desc(), F.col("review_count").desc(), F.col("parent_asin")], "rank")
+    best = ranked.groupBy(F.when(F.col("brand") == "", F.concat(F.lit("="), F.col("parent_asin"))).otherwise(F.col("brand")).alias("b")).agg(F.min("rank").alias("rank"), F.lit(True).alias("first"))
+    ranked = ranked.join(best.select("rank", "first"), "rank", "left").withColumn("first", F.coalesce("first", F.lit(False)))
+    chosen = ranked.orderBy(F.col("first").desc(), "rank").limit(k).select("rank", F.lit(True).alias("selected"))
+    return ranked.join(F.broadcast(chosen), "rank", "left").withColumn("selected", F.coalesce("selected", F.lit(False))).select("rank", "selected", "parent_asin", "store", "product_title", "price", "review_count", "score", *names, "matched_concepts")

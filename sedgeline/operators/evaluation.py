@@ -37,6 +37,21 @@ def scored(s: DataFrame) -> DataFrame:
     return s.withColumns({"precision": F.coalesce(ratio(tp, tp + fp), zero), "recall": F.coalesce(ratio(tp, tp + fn), zero), "f1": F.coalesce(ratio(2 * tp, 2 * tp + fp + fn), zero)})
 
 
+def exact_sets(predicted: DataFrame, truth: DataFrame, key: str, item: str) -> DataFrame:
+    """AG27: (reviews, exact): keys with an item on either side, and those whose two sets of items are equal."""
+    a = predicted.select(key, item).distinct().withColumn("__p", F.lit(1))
+    b = truth.select(key, item).distinct().withColumn("__t", F.lit(1))
+    by = a.join(b, [key, item], "full_outer").groupBy(key).agg(F.bool_and(F.col("__p").isNotNull() & F.col("__t").isNotNull()).alias("equal"))
+    return by.agg(F.count("*").alias("reviews"), F.count_if("equal").alias("exact"))
+
+
+def pair_agreement(predicted: DataFrame, truth: DataFrame, keys: list[str], label: str, classes: tuple[str, ...] = CLASSES) -> DataFrame:
+    """AG29: (given, predicted, n, agree) over the pairs that both sides have with a label of ``classes``; others, as mixed or unclear, do not count."""
+    a = predicted.where(F.col(label).isin(*classes)).select(*keys, F.col(label).alias("predicted")).distinct()
+    b = truth.where(F.col(label).isin(*classes)).select(*keys, F.col(label).alias("given")).distinct()
+    return a.join(b, keys).groupBy("given", "predicted").agg(F.count("*").alias("n")).withColumn("agree", F.col("given") == F.col("predicted"))
+
+
 def confusion(rows: DataFrame, label: str, predicted: str, by: list[str] | None = None) -> DataFrame:
     """AG29-30: counts by label and prediction."""
     return rows.groupBy(*(by or []), label, predicted).agg(F.count("*").alias("n"))
@@ -62,9 +77,16 @@ def error_rates(rows: DataFrame, group: Column, name: str, label: str, predicted
     return rows.groupBy(group.alias(name)).agg(F.count("*").alias("rows"), wrong.alias("errors")).withColumn("error_rate", ratio(F.col("errors"), F.col("rows")))
 
 
+#: Upper ends and names of the right-closed bins of the token count.
+TOKEN_BINS = ((16, "0–16"), (32, "17–32"), (64, "33–64"), (128, "65–128"), (255, "129–255"), (None, "256+"))
+
+
 def token_bin(n: Column) -> Column:
-    """PRJ11: right-closed bins of the token count."""
-    return F.when(n <= 16, "1-16").when(n <= 32, "17-32").when(n <= 64, "33-64").when(n <= 128, "65-128").when(n <= 256, "129-256").otherwise("257+")
+    """PRJ11: right-closed bins of the token count; null has none."""
+    out = F.when(n > TOKEN_BINS[-2][0], TOKEN_BINS[-1][1])
+    for end, name in TOKEN_BINS[-2::-1]:
+        out = F.when(n <= end, name).otherwise(out)
+    return out
 
 
 def calibration_bins(rows: DataFrame, score: str, label: str, predicted: str, bins: int = 10) -> DataFrame:
@@ -75,6 +97,15 @@ def calibration_bins(rows: DataFrame, score: str, label: str, predicted: str, bi
     return ok.groupBy(b.alias("bin")).agg(F.count("*").alias("rows"), F.count_if(F.col(label) == F.col(predicted)).alias("hits"), F.sum(F.floor(s * 1_000_000 + 0.5)).cast("long").alias("score_micro"))
 
 
+def threshold_rates(rows: DataFrame, score: str, label: str, predicted: str, percents: list[int]) -> DataFrame:
+    """AG33: by least score (in percent) the rows that reach it, their errors, share of all rows and error rate, in one pass."""
+    s = F.col(score)
+    reached = F.filter(F.array(*[F.lit(p) for p in percents]), lambda p: (s >= p / 100.0) & ~F.isnan(s))
+    by = rows.select(F.explode(reached).alias("percent"), (F.col(label) != F.col(predicted)).alias("wrong")).groupBy("percent").agg(F.count("*").alias("rows"), F.count_if("wrong").alias("errors"))
+    total = rows.agg(F.count("*").alias("all"))
+    return by.crossJoin(F.broadcast(total)).withColumns({"coverage": ratio(F.col("rows"), F.col("all")), "error_rate": ratio(F.col("errors"), F.col("rows"))}).drop("all")
+
+
 def calibration(bins: DataFrame) -> DataFrame:
     """Expected calibration error of the bins."""
     total = F.sum("rows").cast("double")
@@ -104,16 +135,36 @@ def model_comparison(a: DataFrame, b: DataFrame, key: str, label: str, predicted
     return x.join(y, key).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-POSITIVE = r"\b(?:great|love|loved|excellent|perfect|amazing|best|good)\b"
-NEGATIVE = r"\b(?:bad|worst|terrible|awful|poor|broken|leaky|useless|disappointing)\b"
-NEGATED = r"\b(?:not|never|no|don't|doesn't|isn't|wasn't|cannot)\b"
+#: Patterns over text in lower case, and over the text as it is.
+POSITIVE = r"\b(?:love|loved|great|excellent|amazing|perfect|wonderful|awesome|fantastic|recommend|works? well|five stars?)\b"
+NEGATIVE = r"\b(?:hate|hated|terrible|awful|worst|useless|disappointed|waste of money|does(?:n['’]t| not) work|did(?:n['’]t| not) work|one star)\b"
+NEGATED = r"\b(?:not|never|isn['’]t|wasn['’]t|doesn['’]t|didn['’]t)\s+(?:\w+\s+){0,2}(?:good|great|excellent|amazing|perfect|wonderful)\b"
+CONTRAST = r"\b(?:but|however|although|though|yet|on the other hand)\b"
+DELIVERY = r"\b(?:shipping|delivery|delivered|package|packaging|arrived|seller|amazon|refund|returned?|replacement)\b"
+SHOUT = r"\b[A-Z]{4,}\b"
+SHORT_TOKENS, MARKS = 8, 2
+
+
+def error_clues(rows: DataFrame, text: str = "review_text", rating: str = "rating", tokens: str = "token_count") -> DataFrame:
+    """TX17: what a text holds that may explain an error; a null text is an empty one."""
+    raw = F.coalesce(F.col(text), F.lit(""))
+    low, stars = F.lower(raw), F.col(rating)
+    good, bad = low.rlike(POSITIVE) & ~low.rlike(NEGATED), low.rlike(NEGATIVE)
+    return rows.withColumns({
+        "has_positive": good, "has_negative": bad, "mixed_opinion": (good & bad) | low.rlike(CONTRAST), "delivery": low.rlike(DELIVERY),
+        "positive_text_low_rating": F.coalesce((stars <= 2) & good & ~bad, F.lit(False)), "negative_text_high_rating": F.coalesce((stars >= 4) & bad & ~good, F.lit(False)),
+        "no_clear_sentiment": ~(good | bad), "very_short": F.coalesce(F.col(tokens) <= SHORT_TOKENS, F.lit(False)),
+        "strong_emotion": (F.regexp_count(raw, F.lit("!")) >= MARKS) | raw.rlike(SHOUT),
+    }).withColumn("text_against_rating", F.col("positive_text_low_rating") | F.col("negative_text_high_rating"))
+
+
+CLUES = ("has_positive", "has_negative", "mixed_opinion", "delivery", "positive_text_low_rating", "negative_text_high_rating", "no_clear_sentiment", "very_short", "strong_emotion", "text_against_rating")
 
 
-def error_clues(rows: DataFrame, text: str = "review_text", rating: str = "rating") -> DataFrame:
-    """TX17: what a text holds that may explain an error."""
-    t, low = F.col(text), F.lower(F.col(text))
-    good, bad = low.rlike(POSITIVE), low.rlike(NEGATIVE)
-    return rows.withColumns({"has_positive": good, "has_negative": bad, "has_negation": low.rlike(NEGATED), "has_contrast": low.rlike(r"\b(?:but|however|although|yet)\b"), "exclamations": F.regexp_count(t, F.lit("!")).cast("long"), "shouts": F.regexp_count(t, F.lit(r"\b[A-Z]{3,}\b")).cast("long"), "text_against_rating": F.when((F.col(rating) <= 2) & good & ~bad, "positive_text_low_rating").when((F.col(rating) >= 4) & bad & ~good, "negative_text_high_rating")})
+def clue_errors(rows: DataFrame, label: str, predicted: str) -> DataFrame:
+    """(clue, rows, errors): how many rows show each clue, and how many of them are predicted wrongly, in one pass."""
+    named = error_clues(rows).select(F.explode(F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in CLUES]))).alias("clue"), (F.col(label) != F.col(predicted)).alias("wrong"))
+    return named.groupBy("clue").agg(F.count("*").alias("rows"), F.count_if("wrong").alias("errors"))
 
 
 def cluster_confusion(rows: DataFrame, cluster: str, label: str, predicted: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +20,11 @@ from pyspark.sql import types as T
 from sedgeline.functions.spans import aspect_context
 from sedgeline.operators.sampling import fold
 from sedgeline.operators.search import STOP
-from sedgeline.session import cut, width
+from sedgeline.session import cut, drop_cut, width
 
 
 def tfidf_pipeline(text: str, label: str, terms: int = 100_000, least_df: int = 5, penalty: float = 1.0) -> Pipeline:
-    """ML4: word 1-2 grams, inverse document frequencies, multinomial logistic regression.
+    """ML4: word 1-2 grams in one vocabulary, inverse document frequencies, rows of length 1, multinomial logistic regression.
 
     ``penalty`` is the regularisation strength (the inverse of the usual C). The vocabulary is bounded by ``terms``.
     """
@@ -32,10 +32,10 @@ def tfidf_pipeline(text: str, label: str, terms: int = 100_000, least_df: int =
         stages=[
             RegexTokenizer(inputCol=text, outputCol="__w", pattern=r"\b\w\w+\b", gaps=False, toLowercase=True),
             NGram(n=2, inputCol="__w", outputCol="__b"),
-            CountVectorizer(inputCol="__w", outputCol="__c1", vocabSize=terms // 2, minDF=least_df),
-            CountVectorizer(inputCol="__b", outputCol="__c2", vocabSize=terms // 2, minDF=least_df),
-            VectorAssembler(inputCols=["__c1", "__c2"], outputCol="__c"),
-            IDF(inputCol="__c", outputCol="features"),
+            SQLTransformer(statement="SELECT *, concat(__w, __b) AS __t FROM __THIS__"),
+            CountVectorizer(inputCol="__t", outputCol="__c", vocabSize=terms, minDF=least_df),
+            IDF(inputCol="__c", outputCol="__i"),
+            Normalizer(inputCol="__i", outputCol="features"),
             StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="skip"),
             LogisticRegression(featuresCol="features", labelCol="__y", family="multinomial", regParam=penalty, maxIter=60),
         ]
@@ -43,7 +43,11 @@ def tfidf_pipeline(text: str, label: str, terms: int = 100_000, least_df: int =
 
 
 def train(rows: DataFrame, text: str, label: str, least_df: int = 5, penalty: float = 0.02) -> PipelineModel:
-    return tfidf_pipeline(text, label, least_df=least_df, penalty=penalty).fit(rows.where(F.col(text).isNotNull() & F.col(label).isNotNull()))
+    """The fitted pipeline; the texts are cut once, as each stage reads them again."""
+    held = cut(rows.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(text, label))
+    model = tfidf_pipeline(text, label, least_df=least_df, penalty=penalty).fit(held)
+    drop_cut(held)
+    return model
 
 
 def predict(model: PipelineModel, rows: DataFrame, text: str, label: str) -> DataFrame:
@@ -53,7 +57,7 @@ def predict(model: PipelineModel, rows: DataFrame, text: str, label: str) -> Dat
     out = body.transform(rows.withColumn(text, F.coalesce(text, F.lit(""))))
     p = vector_to_array("probability")
     out = out.withColumns({f"score_{n}": p[i] for i, n in enumerate(names)} | {"predicted_label": F.element_at(F.array(*map(F.lit, names)), F.col("prediction").cast("int") + 1)})
-    return out.drop("__w", "__b", "__c1", "__c2", "__c", "features", "rawPrediction", "probability", "prediction").withColumn("model_score", F.greatest(*[F.col(f"score_{n}") for n in names]))
+    return out.drop("__w", "__b", "__t", "__c", "__i", "features", "rawPrediction", "probability", "prediction").withColumn("model_score", F.greatest(*[F.col(f"score_{n}") for n in names]))
 
 
 def select_penalty(rows: DataFrame, text: str, label: str, penalties: list[float], validation: DataFrame, least_df: int = 5) -> tuple[float, PipelineModel]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedgeline.functions.text import word_count
@@ -32,7 +32,8 @@ def dataset_profile(reviews: DataFrame) -> DataFrame:
 def distribution(df: DataFrame, value: Column, name: str) -> DataFrame:
     """AG2, AG40: (value, n, percent of all); the total is one row, joined as a scalar."""
     by = df.groupBy(value.alias(name)).agg(F.count("*").alias("n"))
-    return by.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()))
+    total = by.agg(F.sum("n").alias("__all"))
+    return by.crossJoin(F.broadcast(total)).withColumn("percent", 100.0 * F.col("n") / F.col("__all")).drop("__all")
 
 
 def length_bucket(words: Column) -> Column:

@@ -71,18 +71,27 @@ def similar_documents(df: DataFrame, key: str, text: str, query_id, k: int = 20)
     return scored.orderBy(F.col("score").desc(), "id").limit(k)
 
 
-def vocabulary(df: DataFrame, segment: str, text: str, least: int = 5, most_share: float = 0.95, top: int = 20, sizes: int = 2) -> DataFrame:
-    """ML3, TK7: by segment the n-grams found in most documents, within document-frequency bounds.
+def phrase_words(text: Column) -> Column:
+    """Words of two characters or more that begin with a letter, with inner apostrophes, in lower case, without stop words."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b[a-z][a-z']+\b"), 0), lambda w: ~w.isin(STOP))
 
-    Document frequencies are combined map-side; the ranking sees only terms above the least frequency.
+
+def vocabulary(df: DataFrame, segment: str, text: str, least: int = 5, least_share: float = 0.0005, most_share: float = 0.95, features: int = 10_000, top: int = 150, sizes: int = 3) -> DataFrame:
+    """ML3, TK7: by segment the phrases of one to ``sizes`` words that stand in most documents, with their document frequency and share.
+
+    A phrase needs max(least, least_share x documents) documents and at most ``most_share`` of them; of
+    these the ``features`` most frequent make the vocabulary and the ``top`` first are given. Each document's distinct
+    phrases go straight to counts by phrase, combined map-side.
     """
-    docs = df.where(F.col(segment).isNotNull())
-    numbered = grams(docs.withColumn("__id", F.struct(segment, "review_id")), "__id", text, sizes)
-    freq = numbered.groupBy(F.col(f"id.{segment}").alias(segment), "term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+    docs = df.where(F.col(segment).isNotNull()).select(F.col(segment), phrase_words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    terms = F.col("w")
+    for n in range(2, sizes + 1):
+        terms = F.concat(terms, _ngrams(n))
+    freq = docs.select(segment, F.explode(F.array_distinct(terms)).alias("term")).groupBy(segment, "term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
     total = docs.groupBy(segment).agg(F.count("*").alias("docs"))
-    kept = freq.join(total, segment).where(F.col("df") <= most_share * F.col("docs"))
+    kept = freq.join(total, segment).where((F.col("df") <= most_share * F.col("docs")) & (F.col("df") >= F.floor(F.col("docs") * least_share)))
     w = Window.partitionBy(segment).orderBy(F.col("df").desc(), "term")
-    return kept.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= top).select(segment, "place", "term", "df")
+    return kept.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= min(top, features)).select(segment, "place", "term", "df", (F.col("df").cast("double") / F.col("docs")).alias("share"))
 
 
 def vector_topk(vectors: DataFrame, query: list[float], k: int = 10, key: str = "vec_id", column: str = "embedding", allowed: DataFrame | None = None) -> DataFrame:
@@ -148,6 +157,13 @@ def vectors_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str =
     return few.withColumn("place", place).where(F.col("place") <= k)
 
 
+def best_aspects(mentions: DataFrame) -> DataFrame:
+    """WIN13: of every review the mention of greatest probability, of equal ones the first aspect; unknown probabilities do not count."""
+    p = mentions.where(F.col("probability").isNotNull() & ~F.isnan("probability"))
+    w = Window.partitionBy("review_id").orderBy(F.col("probability").desc(), "aspect_id")
+    return p.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+
+
 def evidence(mentions: DataFrame, reviews: DataFrame, aspect: str, negative: bool, per_product: int = 2, k: int = 10) -> DataFrame:
     """WIN13-14, PRJ17: reviews that show an aspect, by probability then votes then id; ``retrieve`` ranks them by a query (ML13).
 

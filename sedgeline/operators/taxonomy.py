@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedgeline.operators.sampling import order_key
+from sedgeline.session import numbered
 
 
 def candidate_key(x: Column) -> Column:
@@ -26,8 +27,8 @@ def candidates(observations: DataFrame, eligible_reviews: int = 2, eligible_prod
     once = keyed.groupBy("candidate_key", "review_id").agg(F.max("weight").alias("weight"), F.min("parent_asin").alias("parent_asin"), F.count("*").alias("mentions"))
     support = once.groupBy("candidate_key").agg(F.sum("mentions").alias("mentions"), F.count("*").alias("reviews"), F.count_distinct("parent_asin").alias("products"), F.sum("weight").alias("weighted_support"))
     out = support.join(name, "candidate_key").join(topics, "candidate_key")
-    rank = F.row_number().over(Window.partitionBy().orderBy(F.col("weighted_support").desc(), F.col("reviews").desc(), "candidate_key"))
-    return out.withColumn("support_rank", rank.cast("long")).withColumn("eligible", (F.col("reviews") >= eligible_reviews) & (F.col("products") >= eligible_products))
+    ranked = numbered(out, [F.col("weighted_support").desc(), F.col("reviews").desc(), F.col("candidate_key")], "support_rank")
+    return ranked.withColumn("eligible", (F.col("reviews") >= eligible_reviews) & (F.col("products") >= eligible_products))
 
 
 def uncovered(candidates_: DataFrame, owners: DataFrame) -> DataFrame:
@@ -51,21 +52,20 @@ def proposal(observations: DataFrame, owners: DataFrame, evidence: int = 5) -> D
 def batches(sample: DataFrame, stratum: str, size: int, seed: int = 42) -> DataFrame:
     """LM1, WIN12: reviews in request batches that go round the strata: first of each, second of each, and so on.
 
-    The place in the stratum is ranked in parallel; the global number needs one order over the sample,
-    which is small by design (thousands).
+    The place in the stratum and the number in the whole order are found in parallel.
     """
     place = F.row_number().over(Window.partitionBy(stratum).orderBy(order_key("review_id", seed), "review_id"))
-    number = F.row_number().over(Window.partitionBy().orderBy("round", stratum, "review_id")) - 1
-    return sample.withColumn("round", place).withColumn("batch", F.floor(number / size).cast("long")).drop("round")
+    rows = numbered(sample.withColumn("round", place), [F.col("round"), F.col(stratum), F.col("review_id")], "__number")
+    return rows.withColumn("batch", F.floor((F.col("__number") - 1) / size).cast("long")).drop("round", "__number")
 
 
 def saturation(observations: DataFrame, batch: str, every: int = 5, low: int = 5) -> DataFrame:
-    """AG38: by checkpoint of ``every`` batches the candidates seen so far, the new ones and whether growth is low."""
+    """AG38: by checkpoint of ``every`` batches, from the first batch there is, the candidates seen so far, the new ones and whether growth is low."""
     first = observations.withColumn("candidate_key", candidate_key(F.col("label"))).where("candidate_key is not null").groupBy("candidate_key").agg(F.min(batch).alias("first"))
     point = (F.floor(F.col("first") / every) + 1).cast("long")
     new = first.groupBy(point.alias("checkpoint")).agg(F.count("*").alias("new_candidates"))
-    last = observations.agg((F.floor(F.max(batch) / every) + 1).cast("long").alias("last"))
-    points = last.where("last is not null").select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("last"))).alias("checkpoint"))
+    ends = observations.agg(*[(F.floor(f(batch) / every) + 1).cast("long").alias(n) for f, n in ((F.min, "first"), (F.max, "last"))])
+    points = ends.where("last is not null").select(F.explode(F.sequence("first", "last")).alias("checkpoint"))
     run = Window.partitionBy().orderBy("checkpoint").rowsBetween(Window.unboundedPreceding, 0)
     out = points.join(new, "checkpoint", "left").na.fill(0, ["new_candidates"])
     return out.withColumn("candidates", F.sum("new_candidates").over(run)).withColumn("low_growth", F.col("new_candidates") <= low)

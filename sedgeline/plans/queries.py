@@ -160,14 +160,16 @@ def spreadsheet_safe_texts(spark, d):
 
 # ------------------------------------------------------------------ catalog and scope
 
-PATH_KEY = "array_to_string(list_transform(category_path, lambda x: lower(trim(regexp_replace(x, '\\s+', ' ', 'g')))), ' > ')"
+#: The namespace of the ids in the given tables.
+NAMESPACE = "hair-category"
+PATH_KEY = "array_to_string(list_filter(list_transform(category_path, lambda x: replace(lower(trim(regexp_replace(x, '\\s+', ' ', 'g'))), 'ß', 'ss')), lambda x: x <> ''), ' > ')"
 
 
 @query(f"""WITH k AS (SELECT *, {PATH_KEY} AS path_key FROM product_catalog WHERE len(category_path) > 0)
-SELECT path_key, array_to_string(min(category_path), ' > ') AS path_text, CAST(len(min(category_path)) AS BIGINT) AS depth, min(category_path)[-1] AS leaf, count(*) AS records, count(DISTINCT upper(trim(parent_asin))) AS parents,
-count(DISTINCT trim(main_category)) AS main_categories, count(*)::DOUBLE / sum(count(*)) OVER () AS record_share FROM k GROUP BY 1""")
+SELECT 'hair-category:' || substr(sha256(dataset_category || '|' || path_key), 1, 24) AS category_path_id, path_key, array_to_string(min(category_path), ' > ') AS path_text, CAST(len(min(category_path)) AS BIGINT) AS depth, min(category_path)[-1] AS leaf, count(*) AS records, count(DISTINCT upper(trim(parent_asin))) AS parents,
+count(DISTINCT trim(main_category)) AS main_categories, count(*)::DOUBLE / sum(count(*)) OVER () AS record_share FROM k GROUP BY dataset_category, path_key""")
 def category_registry(spark, d):
-    return catalog.registry(table(spark, d, "product_catalog"))
+    return catalog.registry(table(spark, d, "product_catalog"), NAMESPACE)
 
 
 @query(f"""WITH k AS (SELECT DISTINCT string_split({PATH_KEY}, ' > ') AS k FROM product_catalog WHERE len(category_path) > 0), n AS (SELECT k, unnest(range(1, len(k) + 1)) AS depth FROM k)
@@ -239,14 +241,17 @@ def stratum_weights(spark, d):
     return s.groupBy("rating_group", "year", "length_bucket").agg(F.count("*").alias("sampled"), F.max("population").alias("population"), F.floor(F.sum("sampling_weight") + 0.5).cast("long").alias("weight_total"))
 
 
+@query(f"""WITH {REVIEWS}, {STRATUM}, g AS (SELECT *, rating_group || '|' || year || '|' || length_bucket AS stratum FROM s), h AS (SELECT stratum, count(*) AS n FROM g GROUP BY 1),
+fl AS (SELECT *, least(n, 2) AS q FROM h), op AS (SELECT *, (200 - (SELECT sum(q) FROM fl)) * n::DOUBLE / (SELECT sum(n) FROM fl WHERE n > q) AS ideal FROM fl WHERE n > q),
+wh AS (SELECT *, least(n, q + CAST(floor(ideal) AS BIGINT)) AS w FROM op), r AS (SELECT *, row_number() OVER (PARTITION BY w < n ORDER BY ideal - floor(ideal) DESC, stratum) AS place FROM wh),
+quo AS (SELECT fl.stratum, fl.n, coalesce(r.w + CASE WHEN r.w < r.n AND place <= 200 - (SELECT coalesce(sum(q), 0) FROM fl WHERE n <= q) - (SELECT sum(w) FROM wh) THEN 1 ELSE 0 END, fl.q) AS quota FROM fl LEFT JOIN r ON r.stratum = fl.stratum),
+o AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(review_id || ':42'), review_id) AS rn FROM g)
+SELECT o.stratum, review_id, rating_group, CAST(year AS BIGINT) AS year, length_bucket, quo.n::DOUBLE / quota AS sampling_weight FROM o JOIN quo ON quo.stratum = o.stratum WHERE rn <= quota""")
 def proportional_sample(spark, d):
     s = _strata(spark, d)
     return sampling.stratified(s.withColumn("stratum", F.concat_ws("|", "rating_group", "year", "length_bucket")), "stratum", "review_id", 200, 2)
 
 
-query()(proportional_sample)
-
-
 @query(SAMPLED + " SELECT s.rating_group, count(*) AS held_out FROM s WHERE review_id NOT IN (SELECT review_id FROM t) GROUP BY 1")
 def holdout_anti_join(spark, d):
     return sampling.holdout(_strata(spark, d), stratified_sample(spark, d), "review_id").groupBy("rating_group").agg(F.count("*").alias("held_out"))
@@ -373,7 +378,7 @@ MONTH = f"""WITH {REVIEWS}, {MENTIONS}, c AS (SELECT month, aspect_id, {COUNTERS
 g AS (SELECT month, aspect_id, month_reviews, month_products FROM (SELECT month, count(*) AS month_reviews, count(DISTINCT parent_asin) AS month_products FROM rev GROUP BY 1), (SELECT DISTINCT aspect_id FROM men)),
 f AS (SELECT g.*, coalesce(mentions, 0) AS mentions, rating_sum, coalesce(needs_attention, 0) AS needs_attention, coalesce(satisfied, 0) AS satisfied, coalesce(negative, 0) AS negative, coalesce(neutral, 0) AS neutral, coalesce(positive, 0) AS positive, coalesce(alias_evidence, 0) AS alias_evidence, coalesce(products, 0) AS products
   FROM g LEFT JOIN c USING (month, aspect_id))
-SELECT f.*, {SHARES}, mentions::DOUBLE / month_reviews AS review_share, lag(mentions) OVER w AS previous_mentions, mentions - lag(mentions) OVER w AS mentions_change FROM f WINDOW w AS (PARTITION BY aspect_id ORDER BY month)"""
+SELECT f.*, {SHARES}, mentions::DOUBLE / month_reviews AS review_share, lag(mentions) OVER w AS previous_mentions, mentions - lag(mentions) OVER w AS mentions_change, mentions::DOUBLE / month_reviews - lag(mentions::DOUBLE / month_reviews) OVER w AS share_change FROM f WINDOW w AS (PARTITION BY aspect_id ORDER BY month)"""
 
 
 @query(MONTH)
@@ -384,12 +389,14 @@ def month_aspect_mart(spark, d):
 RANKED = f"""WITH {MART}, pol AS (SELECT *, sum(positive) OVER g::DOUBLE / sum(mentions) OVER g AS pp, sum(negative) OVER g::DOUBLE / sum(mentions) OVER g AS np FROM mart WHERE product_reviews >= 10 AND mentions >= 3 AND niche IS NOT NULL WINDOW g AS (PARTITION BY niche, aspect_id)),
 sm AS (SELECT * EXCLUDE (pp, np), (positive + 10.0::DOUBLE * pp) / (mentions + 10) AS positive_smoothed, (negative + 10.0::DOUBLE * np) / (mentions + 10) AS negative_smoothed FROM pol),
 ranked AS (SELECT *, CASE WHEN positive >= 2 THEN rank() OVER (PARTITION BY niche, aspect_id, positive >= 2 ORDER BY positive_smoothed DESC) END AS positive_rank,
-  CASE WHEN negative >= 2 THEN rank() OVER (PARTITION BY niche, aspect_id, negative >= 2 ORDER BY negative_smoothed DESC) END AS negative_rank, product_rating_sum::DOUBLE / product_reviews >= 4.0 AND negative >= 3 AS recurring_complaint FROM sm)"""
+  CASE WHEN negative >= 2 THEN rank() OVER (PARTITION BY niche, aspect_id, negative >= 2 ORDER BY negative_smoothed DESC) END AS negative_rank,
+  CASE WHEN positive >= 2 THEN rank() OVER (PARTITION BY niche, aspect_id, positive >= 2 ORDER BY positive DESC) END AS positive_frequency_rank, CASE WHEN negative >= 2 THEN rank() OVER (PARTITION BY niche, aspect_id, negative >= 2 ORDER BY negative DESC) END AS negative_frequency_rank,
+  CASE WHEN positive >= 2 THEN rank() OVER (PARTITION BY parent_asin, positive >= 2 ORDER BY positive DESC) END AS positive_reason_rank, CASE WHEN negative >= 2 THEN rank() OVER (PARTITION BY parent_asin, negative >= 2 ORDER BY negative DESC) END AS negative_reason_rank, product_rating_sum::DOUBLE / product_reviews >= 4.0 AND negative >= 3 AS recurring_complaint FROM sm)"""
 
 
-@query(RANKED + " SELECT parent_asin, niche, aspect_id, mentions, positive, negative, positive_smoothed, negative_smoothed, positive_rank, negative_rank, recurring_complaint FROM ranked")
+@query(RANKED + " SELECT parent_asin, niche, aspect_id, mentions, positive, negative, positive_smoothed, negative_smoothed, positive_rank, negative_rank, positive_frequency_rank, negative_frequency_rank, positive_reason_rank, negative_reason_rank, recurring_complaint FROM ranked")
 def niche_rankings(spark, d):
-    return aspects.rankings(_mart(spark, d)).select("parent_asin", "niche", "aspect_id", "mentions", "positive", "negative", "positive_smoothed", "negative_smoothed", "positive_rank", "negative_rank", "recurring_complaint")
+    return aspects.rankings(_mart(spark, d)).select("parent_asin", "niche", "aspect_id", "mentions", "positive", "negative", "positive_smoothed", "negative_smoothed", "positive_rank", "negative_rank", "positive_frequency_rank", "negative_frequency_rank", "positive_reason_rank", "negative_reason_rank", "recurring_complaint")
 
 
 @query(RANKED + ", o AS (SELECT *, row_number() OVER (PARTITION BY parent_asin ORDER BY negative DESC, aspect_id) AS k FROM ranked WHERE recurring_complaint) SELECT parent_asin, niche, aspect_id, negative, mentions FROM o WHERE k = 1")
@@ -459,19 +466,19 @@ def product_search(spark, d):
     return compare.product_search(views.products(spark, d), "Hair oil")
 
 
-_AGAIN, _NEVER = compare.AGAIN, compare.NEVER
+_AGAIN, _NEVER = (x.replace("'", "''") for x in (compare.AGAIN, compare.NEVER))
 
 
-@query(f"""WITH {REVIEWS}, f AS (SELECT parent_asin, regexp_matches(lower(text), '{_AGAIN}') AND NOT regexp_matches(lower(text), '{_NEVER}') AS again, regexp_matches(lower(text), '{_NEVER}') AS never FROM rev)
-SELECT parent_asin, count(*) AS reviews, count(*) FILTER (WHERE again) AS again, count(*) FILTER (WHERE never) AS never, count(*) FILTER (WHERE again)::DOUBLE / count(*) AS again_share, count(*) FILTER (WHERE again) >= 3 AS supported FROM f GROUP BY 1""")
+@query(f"""WITH {REVIEWS}, f AS (SELECT review_id, parent_asin, regexp_matches(lower(text), '{_AGAIN}') AND NOT regexp_matches(lower(text), '{_NEVER}') AS again, regexp_matches(lower(text), '{_NEVER}') AS never FROM rev)
+SELECT parent_asin, count(*) AS reviews, count(DISTINCT review_id) FILTER (WHERE again) AS again, count(DISTINCT review_id) FILTER (WHERE never) AS never, count(DISTINCT review_id) FILTER (WHERE again)::DOUBLE / count(*) AS again_share, count(DISTINCT review_id) FILTER (WHERE again) >= 3 AS supported FROM f GROUP BY 1""")
 def repurchase_signal(spark, d):
     return compare.repurchase(views.reviews(spark, d))
 
 
-@query()
-def competitor_ranking(spark, d):
-    own = _workspace(spark, d)[0]
-    return compare.competitors(views.products(spark, d), own)
+#: Phrases of a title by what the product is for; a parameter of the ranking.
+CONCEPTS = {"mask": ["hair mask", "hair butter"], "oil": ["hair oil", "oil"], "rinse": ["purple rinse", "rinse"], "shine": ["shine mist", "mist", "shine"], "styling": ["styling mousse", "mousse"], "wash": ["co wash", "shampoo", "conditioner"]}
+_HAS = lambda t: ", ".join(f"CASE WHEN {' OR '.join(f"contains(' ' || {t} || ' ', ' {p} ')" for p in v)} THEN '{k}' END" for k, v in sorted(CONCEPTS.items()))
+_NORMAL = lambda c: f"trim(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', ' ', 'g'))"
 
 
 # ------------------------------------------------------------------ search
@@ -481,6 +488,30 @@ GRAMS = lambda source, key, text, extra="": f"""w AS (SELECT {key} AS id{extra},
 gr AS (SELECT id{extra}, unnest(w) AS term FROM w UNION ALL SELECT id{extra}, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w WHERE len(w) >= 2)"""
 
 
+TFIDF = """tf AS (SELECT id, term, count(*) AS tf FROM gr GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(DISTINCT id) AS n FROM tf),
+v AS (SELECT id, term, (1 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1) AS v FROM tf JOIN df USING (term), n), nor AS (SELECT id, sqrt(sum(v * v)) AS norm FROM v GROUP BY 1), x AS (SELECT id, term, v / norm AS weight FROM v JOIN nor USING (id))"""
+
+
+@query(f"""WITH {REVIEWS}, {PRODUCTS}, own AS (SELECT parent_asin FROM rev GROUP BY 1 ORDER BY count(*) DESC, parent_asin LIMIT 1),
+t AS (SELECT parent_asin, category_path_id, store, product_title, price_at_collection AS price, coalesce(review_count, 0) AS review_count, {_NORMAL('product_title')} AS title, {_NORMAL('store')} AS brand FROM prod),
+me AS (SELECT category_path_id AS cat, brand AS brand0, price AS price0, list_filter([{_HAS('title')}], lambda x: x IS NOT NULL) AS concepts0 FROM t WHERE parent_asin IN (SELECT parent_asin FROM own)),
+pool AS (SELECT *, parent_asin IN (SELECT parent_asin FROM own) AS is_own FROM t, me WHERE category_path_id = cat AND (parent_asin IN (SELECT parent_asin FROM own) OR review_count >= 1
+  AND NOT ((brand = brand0 AND brand <> '') OR (least(length(brand), length(brand0)) >= 4 AND CASE WHEN length(brand) <= length(brand0) THEN starts_with(brand0, brand || ' ') ELSE starts_with(brand, brand0 || ' ') END)))),
+{GRAMS('pool', 'parent_asin', 'title')}, {TFIDF},
+txt AS (SELECT id, sum(weight * q) AS text_similarity FROM x JOIN (SELECT term, weight AS q FROM x WHERE id IN (SELECT parent_asin FROM own)) USING (term) GROUP BY 1),
+sc0 AS (SELECT pool.*, coalesce(text_similarity, 0) AS text_similarity, list_filter([{_HAS('title')}], lambda x: x IS NOT NULL AND list_contains(concepts0, x)) AS matched_concepts, ln(1 + review_count) / (SELECT max(ln(1 + review_count)) FROM pool WHERE NOT is_own) AS support,
+  CASE WHEN price0 IS NULL OR price IS NULL OR isnan(price0) OR isnan(price) THEN 0.5 ELSE greatest(0, 1 - abs(ln(greatest(price, 0.01) / greatest(price0, 0.01))) / ln(4)) END AS price_similarity FROM pool LEFT JOIN txt ON id = parent_asin WHERE NOT is_own),
+sc AS (SELECT *, len(matched_concepts)::DOUBLE / greatest(1, len(concepts0)) AS concept_similarity FROM sc0), s2 AS (SELECT *, 0.45::DOUBLE * text_similarity + 0.30::DOUBLE * concept_similarity + 0.10::DOUBLE * price_similarity + 0.15::DOUBLE * support AS score FROM sc),
+ra AS (SELECT *, row_number() OVER (ORDER BY score DESC, review_count DESC, parent_asin) AS rank FROM s2), fi AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN brand = '' THEN '=' || parent_asin ELSE brand END ORDER BY rank) = 1 AS first FROM ra),
+ch AS (SELECT *, row_number() OVER (ORDER BY first DESC, rank) <= 4 AS selected FROM fi)
+SELECT rank, selected, parent_asin, array_to_string(matched_concepts, ',') AS concepts, CAST(floor(score * 1000000 + 0.5) AS BIGINT) AS score_micro, CAST(floor(text_similarity * 1000000 + 0.5) AS BIGINT) AS text_micro, CAST(floor(price_similarity * 1000000 + 0.5) AS BIGINT) AS price_micro FROM ch""")
+def competitor_ranking(spark, d):
+    own = _workspace(spark, d)[0]
+    found = compare.competitors(views.products(spark, d), own, CONCEPTS)
+    micro = lambda c, n: F.floor(F.col(c) * 1000000 + 0.5).cast("long").alias(n)
+    return found.select("rank", "selected", "parent_asin", F.array_join("matched_concepts", ",").alias("concepts"), micro("score", "score_micro"), micro("text_similarity", "text_micro"), micro("price_similarity", "price_micro"))
+
+
 @query(f"""WITH {PRODUCTS}, {GRAMS('prod', 'parent_asin', 'product_search_text')}, tf AS (SELECT id, term, count(*) AS tf FROM gr GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(DISTINCT id) AS n FROM tf),
 v AS (SELECT id, term, (1 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1) AS v FROM tf JOIN df USING (term), n), nor AS (SELECT id, sqrt(sum(v * v)) AS norm FROM v GROUP BY 1), x AS (SELECT id, term, v / norm AS weight FROM v JOIN nor USING (id)),
 q AS (SELECT term, weight AS q FROM x WHERE id = (SELECT min(parent_asin) FROM prod)), s AS (SELECT id, sum(weight * q) AS score FROM x JOIN q USING (term) WHERE id <> (SELECT min(parent_asin) FROM prod) GROUP BY 1)
@@ -503,9 +534,14 @@ def tfidf_similarity_set(spark, d):
     return s.select("query_id", F.col("id").alias("parent_asin"), F.floor(F.col("score") * 1000000 + 0.5).cast("long").alias("score_micro"))
 
 
-@query(f"""WITH {REVIEWS}, {PRODUCTS}, src AS (SELECT rev.review_id, trim(leaf_category) AS leaf, text FROM rev JOIN prod ON prod.parent_asin = rev.parent_asin WHERE leaf_category IS NOT NULL), {GRAMS('src', 'review_id', 'text', ', leaf')},
-df AS (SELECT leaf, term, count(*) AS df FROM (SELECT DISTINCT id, leaf, term FROM gr) GROUP BY 1, 2 HAVING count(*) >= 5), t AS (SELECT leaf, count(*) AS docs FROM src GROUP BY 1),
-o AS (SELECT leaf, row_number() OVER (PARTITION BY leaf ORDER BY df DESC, term) AS place, term, df FROM df JOIN t USING (leaf) WHERE df <= 0.95 * docs) SELECT * FROM o WHERE place <= 20""")
+_FOREIGN = "[\\w]*[\\x{C0}-\\x{24F}\\x{370}-\\x{1FFF}\\x{3040}-\\x{9FFF}\\x{AC00}-\\x{D7A3}][\\w\\x{C0}-\\x{24F}\\x{370}-\\x{1FFF}\\x{3040}-\\x{9FFF}\\x{AC00}-\\x{D7A3}]*"
+
+
+@query(f"""WITH {REVIEWS}, {PRODUCTS}, src AS (SELECT rev.review_id, trim(leaf_category) AS leaf, text FROM rev JOIN prod ON prod.parent_asin = rev.parent_asin WHERE leaf_category IS NOT NULL),
+w AS (SELECT review_id, leaf, list_filter(regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '{_FOREIGN}', '_', 'g'), '\\b[a-z][a-z'']+\\b'), lambda x: x NOT IN ({_STOP})) AS w FROM src),
+gr AS (SELECT review_id, leaf, unnest(w) AS term FROM w UNION SELECT review_id, leaf, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w WHERE len(w) >= 2 UNION SELECT review_id, leaf, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w WHERE len(w) >= 3),
+df AS (SELECT leaf, term, count(*) AS df FROM gr GROUP BY 1, 2), t AS (SELECT leaf, count(*) AS docs FROM src GROUP BY 1),
+o AS (SELECT leaf, row_number() OVER (PARTITION BY leaf ORDER BY df DESC, term) AS place, term, df, df::DOUBLE / docs AS share FROM df JOIN t USING (leaf) WHERE df <= 0.95::DOUBLE * docs AND df >= greatest(5, CAST(floor(docs * 0.0005) AS BIGINT))) SELECT * FROM o WHERE place <= 150""")
 def segment_vocabulary(spark, d):
     r = views.reviews(spark, d).join(views.products(spark, d).select("parent_asin", F.trim("leaf_category").alias("leaf")), "parent_asin")
     return search.vocabulary(r, "leaf", "text")
@@ -602,7 +638,7 @@ def calibration_bins(spark, d):
     return evaluation.calibration_bins(views.predictions(spark, d), "model_score", "sentiment_label", "predicted_label")
 
 
-@query(f"WITH {PREDICTIONS} SELECT CASE WHEN token_count <= 16 THEN '1-16' WHEN token_count <= 32 THEN '17-32' WHEN token_count <= 64 THEN '33-64' WHEN token_count <= 128 THEN '65-128' WHEN token_count <= 256 THEN '129-256' ELSE '257+' END AS tokens, count(*) AS rows, count(*) FILTER (WHERE sentiment_label <> predicted_label) AS errors, count(*) FILTER (WHERE sentiment_label <> predicted_label)::DOUBLE / count(*) AS error_rate FROM pred GROUP BY 1")
+@query(f"WITH {PREDICTIONS} SELECT CASE WHEN token_count <= 16 THEN '0–16' WHEN token_count <= 32 THEN '17–32' WHEN token_count <= 64 THEN '33–64' WHEN token_count <= 128 THEN '65–128' WHEN token_count <= 255 THEN '129–255' WHEN token_count > 255 THEN '256+' END AS tokens, count(*) AS rows, count(*) FILTER (WHERE sentiment_label <> predicted_label) AS errors, count(*) FILTER (WHERE sentiment_label <> predicted_label)::DOUBLE / count(*) AS error_rate FROM pred GROUP BY 1")
 def error_rates(spark, d):
     return evaluation.error_rates(views.predictions(spark, d), evaluation.token_bin(F.col("token_count")), "tokens", "sentiment_label", "predicted_label")
 
@@ -615,13 +651,17 @@ def model_comparison(spark, d):
     return evaluation.model_comparison(p, other, "review_id", "sentiment_label", "predicted_label")
 
 
-_LOW = "lower(review_text)"
+_PATTERNS = {k: getattr(evaluation, k).replace("'", "''") for k in ("POSITIVE", "NEGATIVE", "NEGATED", "CONTRAST", "DELIVERY", "SHOUT")}
+_ON = lambda k, t="lower(raw)": f"regexp_matches({t}, '{_PATTERNS[k]}')"
+CLUED = f"""WITH {PREDICTIONS}, f0 AS (SELECT *, coalesce(review_text, '') AS raw FROM pred), f1 AS (SELECT *, {_ON('POSITIVE')} AND NOT {_ON('NEGATED')} AS good, {_ON('NEGATIVE')} AS bad FROM f0),
+f2 AS (SELECT *, coalesce(rating <= 2 AND good AND NOT bad, false) AS low, coalesce(rating >= 4 AND bad AND NOT good, false) AS high FROM f1),
+f3 AS (SELECT sentiment_label <> predicted_label AS wrong, unnest([CASE WHEN good THEN 'has_positive' END, CASE WHEN bad THEN 'has_negative' END, CASE WHEN (good AND bad) OR {_ON('CONTRAST')} THEN 'mixed_opinion' END, CASE WHEN {_ON('DELIVERY')} THEN 'delivery' END,
+  CASE WHEN low THEN 'positive_text_low_rating' END, CASE WHEN high THEN 'negative_text_high_rating' END, CASE WHEN NOT (good OR bad) THEN 'no_clear_sentiment' END, CASE WHEN token_count <= 8 THEN 'very_short' END, CASE WHEN length(raw) - length(replace(raw, '!', '')) >= 2 OR {_ON('SHOUT', 'raw')} THEN 'strong_emotion' END, CASE WHEN low OR high THEN 'text_against_rating' END]) AS clue FROM f2)"""
 
 
-@query(f"WITH {PREDICTIONS}, f AS (SELECT *, regexp_matches({_LOW}, '{evaluation.POSITIVE}') AS good, regexp_matches({_LOW}, '{evaluation.NEGATIVE}') AS bad FROM pred) SELECT good, bad, CASE WHEN rating <= 2 AND good AND NOT bad THEN 'positive_text_low_rating' WHEN rating >= 4 AND bad AND NOT good THEN 'negative_text_high_rating' END AS clue, count(*) AS n, count(*) FILTER (WHERE sentiment_label <> predicted_label) AS errors FROM f GROUP BY ALL")
+@query(CLUED + " SELECT clue, count(*) AS rows, count(*) FILTER (WHERE wrong) AS errors FROM f3 WHERE clue IS NOT NULL GROUP BY 1")
 def error_clues(spark, d):
-    c = evaluation.error_clues(views.predictions(spark, d))
-    return c.groupBy(F.col("has_positive").alias("good"), F.col("has_negative").alias("bad"), F.col("text_against_rating").alias("clue")).agg(F.count("*").alias("n"), F.count_if(F.col("sentiment_label") != F.col("predicted_label")).alias("errors"))
+    return evaluation.clue_errors(views.predictions(spark, d), "sentiment_label", "predicted_label")
 
 
 @query()
@@ -651,11 +691,10 @@ def candidate_support(spark, d):
 
 
 @query(OBSERVED + """, f AS (SELECT candidate_key, min(batch) AS first FROM o WHERE candidate_key IS NOT NULL GROUP BY 1), n AS (SELECT first // 3 + 1 AS checkpoint, count(*) AS new_candidates FROM f GROUP BY 1),
-p AS (SELECT unnest(range(24241 // 3 + 1, (SELECT max(batch) FROM o) // 3 + 2)) AS checkpoint)
+p AS (SELECT unnest(range((SELECT min(batch) FROM o) // 3 + 1, (SELECT max(batch) FROM o) // 3 + 2)) AS checkpoint)
 SELECT p.checkpoint, coalesce(new_candidates, 0) AS new_candidates, CAST(sum(coalesce(new_candidates, 0)) OVER (ORDER BY p.checkpoint) AS BIGINT) AS candidates, coalesce(new_candidates, 0) <= 5 AS low_growth FROM p LEFT JOIN n ON n.checkpoint = p.checkpoint""")
 def saturation(spark, d):
-    s = taxonomy.saturation(_observations(spark, d), "batch", 3)
-    return s.where(F.col("checkpoint") >= 24241 // 3 + 1)
+    return taxonomy.saturation(_observations(spark, d), "batch", 3)
 
 
 @query(f"""WITH {MANIFEST}, s AS (SELECT review_id, sentiment_label, row_number() OVER (PARTITION BY sentiment_label ORDER BY md5(review_id || ':42'), review_id) AS r FROM man WHERE split_name = 'validation')
@@ -684,3 +723,6 @@ def latent_vectors(spark, d):
 def sentence_pieces(spark, d):
     t = table(spark, d, "documents").where("text is not null")
     return t.select("doc_id", F.explode(spans.sentence_spans("text")).alias("s")).select("doc_id", "s.start", "s.end")
+
+
+from sedgeline.plans import audits  # noqa: E402, F401  its queries join those above

@@ -8,7 +8,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Tables of this process in the checkpoint folder.
@@ -96,3 +96,14 @@ def small_enough(df: DataFrame, row_bytes: int, limit: int = 8 << 20) -> bool:
 def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = 8 << 20) -> DataFrame:
     """Broadcast only behind a row count; beyond it the join shuffles and AQE splits skewed keys."""
     return F.broadcast(df) if small_enough(df, row_bytes, limit) else df
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Rows with their place from 1 in a total order, sorted by ranges in all tasks; only the sizes of the ranges meet in one."""
+    at = F.monotonically_increasing_id()
+    rows = cut(df.orderBy(*order).withColumn("__at", at))
+    rows = rows.withColumn("__part", F.shiftright("__at", 33))
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.partitionBy().orderBy("__part")) - F.col("__n")).alias("__before"))
+    inner = F.col("__at") - F.shiftleft(F.col("__part"), 33)
+    return rows.join(maybe_broadcast(before, 40), "__part").withColumn(name, F.col("__before") + inner + 1).drop("__part", "__before", "__at")

@@ -46,8 +46,8 @@ class ReviewStore:
 
     def competitors(self, product: str, k: int = 4, least_reviews: int = 1) -> DataFrame:
         """Direct competitors; where too few have enough reviews the floor falls to one."""
-        found = compare.competitors(self.products, product, k, least_reviews)
-        return found if least_reviews <= 1 or found.limit(k).count() == k else compare.competitors(self.products, product, k, 1)
+        found = compare.competitors(self.products, product, None, k, least_reviews).where("selected")
+        return found if least_reviews <= 1 or found.limit(k).count() == k else compare.competitors(self.products, product, None, k, 1).where("selected")
 
     def workspace(self, product: str, others: list[str] | None = None, k: int = 4) -> Workspace:
         if others is None:

@@ -128,6 +128,23 @@ def test_allocate():
     assert sum(q.values()) == 30 and q["small"] == 2 and q["mid"] >= 3 and q["big"] > q["mid"]
     with pytest.raises(ValueError):
         sampling.allocate({"a": 100, "b": 10}, 2, 3)
+    # shares 4.5, 2.52 and 1.98: one unit each to the two greatest fractions
+    assert sampling.allocate({"a": 50, "b": 28, "c": 22}, 9, 0) == {"a": 4, "b": 3, "c": 2}
+    assert sampling.allocate({"b": 10, "a": 10}, 5, 1) == {"a": 3, "b": 2}
+    # the floor fills c; 8 go to a and b as 7.2 and 0.8
+    assert sampling.allocate({"a": 90, "b": 10, "c": 2}, 14, 2) == {"a": 9, "b": 3, "c": 2}
+
+
+def test_diverse_take_spreads():
+    rows = pd.DataFrame([(f"r{i}", a) for i, a in enumerate("xxxyyz")], columns=["review_id", "aspect_id"])
+    got = sampling.diverse_take(rows, 4, set())
+    assert sorted(got.aspect_id[:3]) == ["x", "y", "z"] and got.aspect_id.iloc[3] in "xy"
+    used = set(rows.review_id[rows.aspect_id == "z"])
+    assert list(sampling.diverse_take(rows, 6, used).aspect_id)[-1] == "z"
+    same = pd.DataFrame([("r", "a"), ("r", "b"), ("s", "b")], columns=["review_id", "aspect_id"])
+    taken = sampling.diverse_take(same, 2, set())
+    assert set(taken.review_id) == {"r", "s"}
+    assert len(sampling.diverse_take(same, 9, set())) == 3 and len(sampling.diverse_take(same.head(0), 2, set())) == 0
 
 
 def test_stratified_weights(spark):
@@ -155,6 +172,16 @@ def test_cover_targets():
 # ---------------------------------------------------------------- catalog, aspects, comparison
 
 
+def test_registry_key_folds_unicode(spark):
+    paths = [["Ｈａｉｒ  Care", "Straße"], ["hair care", "STRASSE"], ["Hair Care", " "], [], None]
+    df = spark.createDataFrame([("b", p, "m", f"p{i}") for i, p in enumerate(paths)], "dataset_category string, category_path array<string>, main_category string, parent_asin string")
+    got = {r["path_key"]: r for r in catalog.registry(df).collect()}
+    assert set(got) == {"hair care > strasse", "hair care"} and got["hair care > strasse"]["records"] == 2
+    assert got["hair care"]["category_path_id"].startswith("amazon-category:") and len(got["hair care"]["category_path_id"]) == 40
+    assert {r["depth"]: r["nodes"] for r in catalog.category_nodes(df).collect()} == {1: 1, 2: 1}
+    assert catalog.registry(df.limit(0)).count() == 0
+
+
 def test_registry_labels(spark):
     df = spark.createDataFrame([("Ｈａｉｒ  Care ",), ("Straße",), ("  ",), (None,)], "x string")
     assert [r[0] for r in df.select(catalog.display_label("x")).collect()] == ["Hair Care", "Straße", None, None]
@@ -207,16 +234,17 @@ def test_bootstrap_and_proper_scores(spark):
 
 
 def test_error_clues(spark):
-    df = spark.createDataFrame([("Great product!", 1), ("WORST purchase!!", 5)], "review_text string, rating int")
+    df = spark.createDataFrame([("Great product!", 1, 8), ("WORST purchase!!", 5, 9), (None, None, None)], "review_text string, rating int, token_count int")
     got = evaluation.error_clues(df).collect()
-    assert [r["text_against_rating"] for r in got] == ["positive_text_low_rating", "negative_text_high_rating"]
-    assert got[1]["exclamations"] == 2 and got[1]["shouts"] == 1
+    assert [(r["positive_text_low_rating"], r["negative_text_high_rating"], r["text_against_rating"]) for r in got] == [(True, False, True), (False, True, True), (False, False, False)]
+    assert [r["strong_emotion"] for r in got] == [False, True, False] and [r["very_short"] for r in got] == [True, False, False]
+    assert got[2]["no_clear_sentiment"] and not got[2]["delivery"]
 
 
 def test_brand_and_price(spark):
     df = spark.createDataFrame([("dove men care", "dove", 10.0, 10.0), ("ab", "ab c", 10.0, 40.0), ("x", "x", None, 5.0), ("", "", 1.0, 2.0)], "a string, b string, p double, q double")
     got = df.select(compare.same_brand(F.col("a"), F.col("b")), compare.price_similarity(F.col("p"), F.col("q"))).collect()
-    assert [r[0] for r in got] == [True, False, True, False] and [round(r[1], 3) for r in got] == [1.0, 0.01, 0.5, 0.5]
+    assert [r[0] for r in got] == [True, False, True, False] and [round(r[1], 3) for r in got] == [1.0, 0.0, 0.5, 0.5]
 
 
 def test_vector_and_lexical_search(spark):
