@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import itertools
+import random
 import os
 from collections import Counter, defaultdict
 
@@ -307,7 +308,7 @@ def test_leaks(spark, tables):
 
 
 def test_leaks_of_changed_items_and_portions(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "PORTION", 2)
+    monkeypatch.setattr(leakage, "PORTION_BYTES", 500)
     item = [f"w{k}" for k in range(60)]
     changed = item[:30] + ["other"] + item[31:]
     items = spark.createDataFrame([(k, "en", " ".join(f"{x}_{k}".replace("_", "q") if k else x for x in item)) for k in range(5)], "item_id long, item_lang string, text string")
@@ -316,6 +317,30 @@ def test_leaks_of_changed_items_and_portions(spark, monkeypatch):
     assert [(r["doc_id"], r["item_id"], r["longest_run"]) for r in got] == [(1, 0, 30)] and 0.8 <= got[0]["similarity"] < 1
 
 
+def test_recall_of_edited_passages():
+    """Items laid into documents with one to six words changed, inserted or left out: whatever is alike at any place is found."""
+    rng = random.Random(5)
+    items = [[rng.choice(WORDS_OF) for _ in range(rng.randint(20, 150))] for _ in range(40)]
+    probe = leakage.Probe(leakage.WORDS, list(range(len(items))), items).build(leakage.Hasher())
+    docs, alike = [], set()
+    for k in range(400):
+        own = list(items[k % len(items)])
+        for _ in range(1 + k % 6):
+            at = rng.randrange(len(own))
+            own[at : at + rng.choice((0, 1))] = rng.choice(([], ["changed"], ["more", "words"]))
+        docs.append([rng.choice(WORDS_OF) for _ in range(9)] + own + ["end"])
+        text = items[k % len(items)]
+        if any(probe.similarity(text, docs[k][x : x + len(text)]) >= leakage.SIMILAR for x in range(len(docs[k]))):
+            alike.add((k, k % len(items)))
+    rows = leakage.matches(probe, docs, leakage.Hasher())
+    assert len(alike) > 50 and alike <= {(d, i) for d, i, _, _ in rows}
+    placed = {(d, i) for d, i, _, similarity in rows if similarity >= leakage.SIMILAR}  # laid over the places of hits only
+    assert len(alike & placed) >= 0.9 * len(alike)
+
+
+WORDS_OF = [f"word{i}" for i in range(3000)]
+
+
 def test_simhash_blocks_find_all_within_radius():
     import numpy as np
 
