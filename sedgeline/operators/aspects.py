@@ -175,10 +175,10 @@ def recurring_complaints(ranked: DataFrame) -> DataFrame:
     return ranked.where("recurring_complaint").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("parent_asin", "niche", "aspect_id", "negative", "mentions")
 
 
-def leaders(ranked: DataFrame, n: int = 3) -> DataFrame:
-    """TK3, TK5: by niche and aspect the n first products of the positive ranking."""
-    w = Window.partitionBy("niche", "aspect_id").orderBy(F.col("positive_rank").asc_nulls_last(), F.col("mentions").desc(), "parent_asin")
-    return ranked.where("positive_rank is not null").withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= n).select("niche", "aspect_id", "place", "parent_asin", "positive_rank")
+def leaders(ranked: DataFrame, n: int = 3, rank: str = "positive_rank") -> DataFrame:
+    """TK3, TK5: by niche and aspect the n first products of a ranking, positive or negative."""
+    w = Window.partitionBy("niche", "aspect_id").orderBy(F.col(rank).asc_nulls_last(), F.col("mentions").desc(), "parent_asin")
+    return ranked.where(F.col(rank).isNotNull()).withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= n).select("niche", "aspect_id", "place", "parent_asin", rank)
 
 
 def reliability(scores: DataFrame, support: str = "support", f1: str = "f1") -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedgeline.operators.ingest import unique
+
 CLASSES = ("negative", "neutral", "positive")
 
 
@@ -127,7 +129,9 @@ def proper_scores(rows: DataFrame, label: str, scores: dict[str, str], tolerance
 
 
 def model_comparison(a: DataFrame, b: DataFrame, key: str, label: str, predicted: str) -> DataFrame:
-    """AG34, JN14, PRJ12: rows by who is right: both, only the first, only the second, neither."""
+    """AG34, JN14, PRJ12: rows by who is right: both, only the first, only the second, neither; a key that repeats on either side is an error."""
+    unique(a, [key])
+    unique(b, [key])
     x = a.select(key, label, F.col(predicted).alias("pa"))
     y = b.select(key, F.col(predicted).alias("pb"))
     right = lambda c: F.col(c) == F.col(label)

@@ -73,14 +73,18 @@ def select_penalty(rows: DataFrame, text: str, label: str, penalties: list[float
     return best[1], best[2]
 
 
-@F.udf(T.ArrayType(T.StringType()), useArrow=True)
-def char_grams(text: str) -> list[str]:
-    """ML5: character 3-5 grams within words, each word padded by a blank."""
-    out = []
-    for w in (text or "").lower().split():
-        w = f" {w} "
-        out += [w[i : i + n] for n in (3, 4, 5) for i in range(max(1, len(w) - n + 1))]
-    return out
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def char_grams(text: pd.Series) -> pd.Series:
+    """ML5: character 3-5 grams within words, each word padded by a blank; the grams of a word are formed once a batch."""
+    known: dict[str, list[str]] = {}
+
+    def grams(word: str) -> list[str]:
+        if word not in known:
+            w = f" {word} "
+            known[word] = [w[i : i + n] for n in (3, 4, 5) for i in range(max(1, len(w) - n + 1))]
+        return known[word]
+
+    return text.map(lambda t: [g for w in (t or "").lower().split() for g in grams(w)])
 
 
 def aspect_model(rows: DataFrame, aspects: list[str], text: str = "text", labels: str = "labels", least_df: int = 2, features: int = 75_000, penalty: float = 0.01) -> tuple[PipelineModel, dict[str, object]]:

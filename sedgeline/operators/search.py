@@ -179,6 +179,11 @@ def evidence(mentions: DataFrame, reviews: DataFrame, aspect: str, negative: boo
     return few.orderBy(*order).limit(k).select("review_id", "parent_asin", "helpful")
 
 
+def phrases_of(evidence: str) -> Column:
+    """JS1: the texts of an evidence document, in order; null where it cannot be read."""
+    return F.transform(F.from_json(evidence, "array<struct<text:string>>"), lambda e: e["text"])
+
+
 def retrieve(mentions: DataFrame, reviews: DataFrame, query: str, aspect: str | None = None, sentiment: str | None = None, products: list[str] | None = None, k: int = 8, per_product: int = 2, dense: DataFrame | None = None, terms: int = 50_000) -> DataFrame:
     """ML13, MA3, WIN13-14: the reviews that answer a query best, at most ``per_product`` of a product.
 
@@ -222,7 +227,7 @@ def retrieve(mentions: DataFrame, reviews: DataFrame, query: str, aspect: str |
     order = [F.col("retrieval_score").desc(), F.col("helpful").desc(), F.col("review_id")]
     ranked = scored.crossJoin(F.broadcast(most)).withColumn("retrieval_score", score)
     few = ranked.withColumn("rn", F.row_number().over(Window.partitionBy("parent_asin").orderBy(*order))).where(F.col("rn") <= per_product)
-    phrases = F.transform(F.from_json("evidence", "array<struct<text:string>>"), lambda e: e["text"]).alias("evidence_phrases")
+    phrases = phrases_of("evidence").alias("evidence_phrases")
     method = F.lit("lexical_tfidf_v1" if dense is None else "hybrid_tfidf_lsa_v1").alias("retrieval_method")
     return few.orderBy(*order).limit(k).select("review_id", "parent_asin", "rating", "ts", "text", "aspect_id", "sentiment", "probability", phrases, "helpful", "lexical_score", "dense_score", "retrieval_score", method)
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sedgeline.operators import catalog, checks, evaluation, ingest, profile, sampling, search, taxonomy
+from sedgeline.operators import aspects, catalog, checks, evaluation, ingest, profile, sampling, search, taxonomy
 from sedgeline.plans import views
-from sedgeline.plans.queries import FIRST, LAST, MENTIONS, NAMESPACE, OBSERVED, PAIRS, PATH_KEY, PREDICTIONS, PRODUCTS, REASON, REVIEWS, SAMPLED, SPACES, _observations, _pairs, _strata, query, stratified_sample
+from sedgeline.plans.queries import FIRST, GRAMS, LAST, MENTIONS, NAMESPACE, OBSERVED, PAIRS, PATH_KEY, PREDICTIONS, PRODUCTS, RANKED, REASON, REVIEWS, SAMPLED, SPACES, _mart, _observations, _pairs, _strata, query, stratified_sample
 from sedgeline.session import table
 
 # ------------------------------------------------------------------ catalog build
@@ -68,6 +68,18 @@ def product_records(spark, d):
     return checks.product_record(raw).select("parent_asin", "product_title", "store", "average_rating", "rating_number", F.col("price_at_collection").alias("price"), F.array_join("category_path", "|").alias("path"), F.array_join("features", "|").alias("features"), F.array_join("metadata_quality_flags", ",").alias("flags"))
 
 
+@query(RANKED + ", o AS (SELECT niche, aspect_id, row_number() OVER (PARTITION BY niche, aspect_id ORDER BY negative_rank, mentions DESC, parent_asin) AS place, parent_asin, negative_rank FROM ranked WHERE negative_rank IS NOT NULL) SELECT * FROM o WHERE place <= 3")
+def aspect_laggards(spark, d):
+    return aspects.leaders(aspects.rankings(_mart(spark, d)), rank="negative_rank")
+
+
+@query(f"WITH {MENTIONS} SELECT review_id, aspect_id, array_to_string(json_extract_string(evidence, '$[*].text'), '|') AS phrases FROM men WHERE evidence IS NOT NULL")
+def evidence_phrases(spark, d):
+    """JS1: the phrases of every mention's evidence, in order."""
+    m = views.mentions(spark, d).where("evidence is not null")
+    return m.select("review_id", "aspect_id", F.array_join(search.phrases_of("evidence"), "|").alias("phrases"))
+
+
 # ------------------------------------------------------------------ structural checks
 
 
@@ -140,6 +152,24 @@ def sample_components(spark, d):
     return both.groupBy("component").agg(F.count("*").alias("rows"), F.floor(F.sum("sampling_weight") + 0.5).cast("long").alias("weight"))
 
 
+SEGMENTS = {"low_1_2": 12, "mid_3": 10, "high_4_5": 40}
+_TOTAL = "CASE rating_group " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SEGMENTS.items()) + " END"
+
+
+@query(SAMPLED + f""", g AS (SELECT review_id, rating_group, year || '|' || length_bucket AS stratum FROM s WHERE review_id NOT IN (SELECT review_id FROM sentiment WHERE review_id IS NOT NULL AND lower(trim(split_name)) = 'validation')), h AS (SELECT rating_group, stratum, count(*) AS n, {_TOTAL} AS total FROM g GROUP BY ALL),
+fl AS (SELECT *, least(n, 1) AS q FROM h), sm AS (SELECT rating_group, sum(q) AS q_all, coalesce(sum(q) FILTER (WHERE n <= q), 0) AS q_full, sum(n) FILTER (WHERE n > q) AS basis FROM fl GROUP BY 1),
+op AS (SELECT fl.*, q_full, (total - q_all) * n::DOUBLE / basis AS ideal FROM fl JOIN sm USING (rating_group) WHERE n > q), wh AS (SELECT *, least(n, q + CAST(floor(ideal) AS BIGINT)) AS w FROM op),
+r AS (SELECT *, sum(w) OVER (PARTITION BY rating_group) AS w_all, row_number() OVER (PARTITION BY rating_group, w < n ORDER BY ideal - floor(ideal) DESC, stratum) AS place FROM wh),
+quo AS (SELECT fl.rating_group, fl.stratum, fl.n, coalesce(r.w + CASE WHEN r.w < r.n AND place <= fl.total - r.q_full - w_all THEN 1 ELSE 0 END, fl.q) AS quota FROM fl LEFT JOIN r ON r.rating_group = fl.rating_group AND r.stratum = fl.stratum),
+ord AS (SELECT *, row_number() OVER (PARTITION BY rating_group, stratum ORDER BY md5(review_id || ':42'), review_id) AS rn FROM g)
+SELECT review_id, ord.rating_group, ord.stratum, quo.n::DOUBLE / quota AS sampling_weight FROM ord JOIN quo ON quo.rating_group = ord.rating_group AND quo.stratum = ord.stratum WHERE rn <= quota""")
+def segmented_sample(spark, d):
+    """SMP3: a sample by rating group, of strata of year and length, without the reviews of the validation split."""
+    held = table(spark, d, "sentiment").where(F.lower(F.trim("split_name")) == "validation")
+    rows = _strata(spark, d).select("review_id", "rating_group", F.concat_ws("|", "year", "length_bucket").alias("stratum"))
+    return sampling.segmented(rows, "rating_group", "stratum", "review_id", SEGMENTS, 1, taken=(held,)).select("review_id", "rating_group", "stratum", "sampling_weight")
+
+
 # ------------------------------------------------------------------ taxonomy
 
 OWNERS = {"scent": "fragrance", "packaging": "container", "texture": "feel", "hold": "feel"}
@@ -210,3 +240,27 @@ def pair_agreement(spark, d):
 @query(f"WITH {MENTIONS}, o AS (SELECT review_id, aspect_id, probability, row_number() OVER (PARTITION BY review_id ORDER BY probability DESC, aspect_id) AS k FROM men WHERE probability IS NOT NULL AND NOT isnan(probability)) SELECT review_id, aspect_id FROM o WHERE k = 1")
 def best_aspects(spark, d):
     return search.best_aspects(views.mentions(spark, d)).select("review_id", "aspect_id")
+
+
+# ------------------------------------------------------------------ retrieval
+
+ASKED = "the scent is too strong and smells bad"
+
+
+@query(f"""WITH {REVIEWS}, {MENTIONS}, own AS (SELECT review_id, aspect_id, CASE WHEN NOT isnan(probability) THEN probability END AS probability FROM men WHERE aspect_id = 'scent' AND sentiment = 'negative'),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY probability DESC NULLS LAST, aspect_id) AS k FROM own) WHERE k = 1),
+tx AS (SELECT best.review_id, aspect_id, probability, rev.parent_asin, rev.helpful, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS plain FROM best JOIN rev ON rev.review_id = best.review_id),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plain ORDER BY probability DESC NULLS LAST, aspect_id, review_id) AS k2 FROM tx WHERE length(plain) >= 2) WHERE k2 = 1),
+doc AS (SELECT 'r' || review_id AS did, plain FROM one UNION ALL SELECT 'q', '{ASKED}'), {GRAMS('doc', 'did', 'plain')},
+tf0 AS (SELECT id, term, count(*) AS tf FROM gr GROUP BY 1, 2), kept AS (SELECT term FROM tf0 GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 50000), tf AS (SELECT * FROM tf0 WHERE term IN (SELECT term FROM kept)), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+v AS (SELECT id, term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM doc)) / (1.0 + df)) + 1) AS v FROM tf JOIN df USING (term)), nor AS (SELECT id, sqrt(sum(v * v)) AS norm FROM v GROUP BY 1), x AS (SELECT id, term, v / norm AS weight FROM v JOIN nor USING (id)),
+lex AS (SELECT x.id, sum(x.weight * q.weight) AS lexical FROM x JOIN x q ON q.term = x.term AND q.id = 'q' WHERE x.id <> 'q' GROUP BY 1),
+sc AS (SELECT one.*, lexical FROM one JOIN lex ON lex.id = 'r' || review_id WHERE lexical > 0),
+ra AS (SELECT *, 0.80::DOUBLE * lexical + 0.15::DOUBLE * least(greatest(coalesce(probability, 0), 0), 1) + 0.05::DOUBLE * ln(1 + greatest(helpful, 0)) / ln(1 + greatest(1, (SELECT max(helpful) FROM sc))) AS score FROM sc),
+few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parent_asin ORDER BY score DESC, helpful DESC, review_id) AS b FROM ra) WHERE b <= 2)
+SELECT review_id, parent_asin, aspect_id, {_MICRO('lexical', 'lexical_micro')}, {_MICRO('score', 'score_micro')} FROM few ORDER BY score DESC, helpful DESC, review_id LIMIT 50""")
+def evidence_search(spark, d):
+    """ML13, MA3: the fifty reviews that answer a query best, at most two of a product."""
+    found = search.retrieve(views.mentions(spark, d), views.reviews(spark, d), ASKED, "scent", "negative", k=50)
+    micro = lambda c, n: F.floor(F.col(c) * 1000000 + 0.5).cast("long").alias(n)
+    return found.select("review_id", "parent_asin", "aspect_id", micro("lexical_score", "lexical_micro"), micro("retrieval_score", "score_micro"))

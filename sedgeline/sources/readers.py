@@ -69,6 +69,23 @@ def parquet_rows(spark: SparkSession, path: str, columns: list[str], filters: di
     return df.select(*columns)
 
 
+def rows_of_keys(spark: SparkSession, path: str, columns: list[str], keys: DataFrame, key: str) -> DataFrame:
+    """SRC6 for keys of any number: the rows whose key stands in ``keys``, by a semi join of the projected scan; a null key matches nothing."""
+    wanted = keys.select(key).where(F.col(key).isNotNull()).distinct()
+    return parquet_rows(spark, path, list(dict.fromkeys([*columns, key]))).join(wanted, key, "left_semi").select(*columns)
+
+
+def union_by_name(spark: SparkSession, paths: list[str], infer: bool = True, schema: T.StructType | None = None) -> DataFrame:
+    """SRC4: JSON lines of several files as one table; a column that a file lacks is null there, types are inferred over all files unless given."""
+    if not paths:
+        raise ValueError("no files")
+    if schema is not None:
+        return spark.read.schema(schema).json(paths)
+    if not infer:
+        raise ValueError("a schema is needed where types are not inferred")
+    return spark.read.json(paths)
+
+
 def by_suffix(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """SRC8: Parquet or CSV."""
     if str(path).endswith(".csv"):

@@ -20,20 +20,24 @@ def _fs(df: DataFrame, path: str):
     return p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()), p, jvm.org.apache.hadoop.fs.Path
 
 
-def write_parquet(df: DataFrame, path: str, partitions: list[str] | None = None) -> str:
+def write_parquet(df: DataFrame, path: str, partitions: list[str] | None = None, order: list[str] | None = None, group_bytes: int | None = None) -> str:
     """SNK1-3: the whole folder is written beside the target and renamed, so that readers never see a part of it."""
-    return write_all({path: df}, partitions)[0]
+    return write_all({path: df}, partitions, order, group_bytes)[0]
 
 
-def write_all(frames: dict[str, DataFrame], partitions: list[str] | None = None) -> list[str]:
-    """SNK4: several folders replaced together; what was there comes back if any step fails.
+def write_all(frames: dict[str, DataFrame], partitions: list[str] | None = None, order: list[str] | None = None, group_bytes: int | None = None) -> list[str]:
+    """SNK2, SNK4: several folders replaced together; what was there comes back if any step fails.
 
-    All are written before the first is replaced. Works on every file system that Hadoop knows.
+    All are written before the first is replaced. With ``order`` files hold ranges of it, each sorted, so that
+    readers skip row groups (of ``group_bytes``) by their bounds. Works on every file system that Hadoop knows.
     """
     tag, moved, done = uuid.uuid4().hex[:12], [], []
     try:
         for path, df in frames.items():
+            if order:
+                df = df.repartitionByRange(*order).sortWithinPartitions(*order)
             w = df.write.option("compression", "zstd")
+            w = w.option("parquet.block.size", group_bytes) if group_bytes else w
             (w.partitionBy(*partitions) if partitions else w).parquet(f"{path}.new-{tag}")
         for path, df in frames.items():
             fs, p, make = _fs(df, path)

@@ -3,11 +3,13 @@
 import gzip
 import hashlib
 import io
+import itertools
 import lzma
 import tarfile
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -203,3 +205,27 @@ def test_queue_and_sets(spark):
     assert [r["review_id"] for r in sorted(q, key=lambda r: r["row_id"])] == [r["review_id"] for r in sorted(sampling.annotation_queue(df.repartition(3), "review_id", "eval").collect(), key=lambda r: r["row_id"])]
     other = spark.createDataFrame([("r1",), ("r9",), ("r9",)], "review_id string")
     assert tuple(checks.set_relation(df, other, "review_id").first()) == (4, 1, 1)
+
+
+def test_keys_union_and_sorted_files(spark, tmp_path):
+    df = spark.createDataFrame([(f"k{i % 7}", i) for i in range(70)], "k string, n int")
+    sinks.write_parquet(df, str(tmp_path / "t"), order=["n"], group_bytes=1 << 20)
+    keys = spark.createDataFrame([("k1",), ("k1",), (None,), ("none",)], "k string")
+    got = readers.rows_of_keys(spark, str(tmp_path / "t"), ["n"], keys, "k")
+    assert got.columns == ["n"] and sorted(r["n"] for r in got.collect()) == list(range(1, 70, 7))
+    assert readers.rows_of_keys(spark, str(tmp_path / "t"), ["n"], keys.limit(0), "k").count() == 0
+    files = sorted((tmp_path / "t").glob("*.parquet"))
+    spans = [(t["n"].min(), t["n"].max(), t["n"].is_monotonic_increasing) for t in map(pd.read_parquet, files) if len(t)]
+    assert all(x[2] for x in spans) and all(a[1] < b[0] for a, b in itertools.pairwise(sorted(spans)))
+    (tmp_path / "a.jsonl").write_text('{"x": 1}\n')
+    (tmp_path / "b.jsonl").write_text('{"y": "z", "x": 2.5}\n')
+    rows = {(r["x"], r["y"]) for r in readers.union_by_name(spark, [str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl")]).collect()}
+    assert rows == {(1.0, None), (2.5, "z")}
+    with pytest.raises(ValueError):
+        readers.union_by_name(spark, [])
+
+
+def test_char_grams(spark):
+    df = spark.createDataFrame([("Ab c",), ("",), (None,)], "t string")
+    got = [list(r[0]) for r in df.select(models.char_grams("t")).collect()]
+    assert got == [[" ab", "ab ", " ab ", " ab ", " c ", " c ", " c "], [], []]

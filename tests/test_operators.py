@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sedgeline.functions import spans
 from sedgeline.functions.text import bucket100, clean_text, fingerprint, id_upper, spreadsheet_safe, split_key, word_count
 from sedgeline.operators import aspects, catalog, compare, evaluation, ingest, profile, sampling, search, skew
 from sedgeline.operators.selection import smallest_hashes
@@ -304,3 +305,31 @@ def test_router_and_citations():
     assert search.citations("yes [R1] and [R2] and [R1]", {"R1", "R2"}) == ["R1", "R2"]
     with pytest.raises(ValueError):
         search.citations("[R9]", {"R1"})
+
+
+def test_segmented_sample(spark):
+    df = spark.range(300).select(F.concat(F.lit("r"), "id").alias("review_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"), (F.col("id") % 4).cast("string").alias("s"))
+    taken = df.where("g = 'a'").limit(10)
+    got = sampling.segmented(df, "g", "s", "review_id", {"a": 20, "b": 33}, 3, taken=(taken,)).toPandas()
+    assert {k: len(v) for k, v in got.groupby("g")} == {"a": 20, "b": 33}
+    assert {k: round(v.sampling_weight.sum(), 6) for k, v in got.groupby("g")} == {"a": 90.0, "b": 200.0}
+    assert not set(got.review_id) & {r["review_id"] for r in taken.collect()}
+    with pytest.raises(ValueError, match="without total"):
+        sampling.segmented(df, "g", "s", "review_id", {"a": 20}, 3)
+    with pytest.raises(ValueError, match="without total"):
+        sampling.segmented(df.limit(0), "g", "s", "review_id", {"a": 20}, 3)
+
+
+def test_models_are_compared_one_to_one(spark):
+    a = spark.createDataFrame([("r1", "x", "x"), ("r2", "x", "y")], "k string, l string, p string")
+    got = {r["outcome"]: r["n"] for r in evaluation.model_comparison(a, a.select("k", F.lit("x").alias("p")), "k", "l", "p").collect()}
+    assert got == {"both_right": 1, "only_second_right": 1}
+    with pytest.raises(ValueError, match="repeats"):
+        evaluation.model_comparison(a, a.unionByName(a), "k", "l", "p")
+
+
+def test_grounding_folds_typography():
+    text = "Well… it `really` smells   nice, doesn’t it"
+    for phrase, want in (("well... it", "Well… it"), ("'really' smells nice", "really` smells   nice"), ("DOESN'T it", "doesn’t it"), ("", None), ("smells very", None)):
+        got = spans.ground(phrase, text)
+        assert (got and text[got[0] : got[1]]) == want
