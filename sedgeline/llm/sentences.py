@@ -286,6 +286,8 @@ class Model:
     prior: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        self.any_short = set().union(*self.short.values())
+        self.any_starter = set().union(*self.starters.values())
         self.names = sorted(self.prior)
         self.base = np.array([self.prior[k] for k in self.names])
         self.index = {w: i + 1 for i, w in enumerate(self.shares)}
@@ -572,12 +574,12 @@ class Splitter:
             return False  # a speaker or list mark such as "R."
         known = own in self.m.short.get(lang, ()) or own in self.m.short.get(self.lang, ())
         if c.islower() and not self.uncased:
-            known = known or any(own in v for v in self.m.short.values())
-        foreign = not known and len(own) <= 3 and own.isalpha() and any(own in v for v in self.m.short.values())
+            known = known or own in self.m.any_short
+        foreign = not known and len(own) <= 3 and own.isalpha() and own in self.m.any_short
         if known or initial or foreign:
             if c.isdigit() or (len(w) == 1 and t[at + 1 : at + 2] == "."):
                 return False
-            starter = low in self.m.starters.get(key, ()) or foreign and any(low in v for v in self.m.starters.values())
+            starter = low in self.m.starters.get(key, ()) or foreign and low in self.m.any_starter
             if c.islower() or shout:
                 return (self.uncased or shout) and starter and (lang, own, low) not in self.m.pairs
             return starter
